@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from .simhash import op7_simhash
+from . import decontamination, simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_simhash,)}
+    found = (decontamination.op1_decontamination, simhash.op7_simhash)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": decontamination.ORACLE}
