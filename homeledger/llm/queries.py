@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, simhash
+from . import decontamination, simhash, token_output
 
 
 def queries() -> dict:
-    found = (decontamination.op1_decontamination, simhash.op7_simhash)
+    found = (decontamination.op1_decontamination, token_output.op5_token_output, simhash.op7_simhash)
     return {f.__name__: f for f in found}
 
 
