@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, simhash, token_output, warc
+from . import decontamination, language_id, simhash, token_output, warc
 
 
 def queries() -> dict:
-    found = (decontamination.op1_decontamination, token_output.op5_token_output, simhash.op7_simhash, warc.op10_warc)
+    found = (decontamination.op1_decontamination, language_id.op3_language_id, token_output.op5_token_output, simhash.op7_simhash, warc.op10_warc)
     return {f.__name__: f for f in found}
 
 
