@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, simhash, token_output, warc
+from . import decontamination, language_id, quality_rules, simhash, token_output, warc
 
 
 def queries() -> dict:
-    found = (decontamination.op1_decontamination, language_id.op3_language_id, token_output.op5_token_output, simhash.op7_simhash, warc.op10_warc)
+    found = (decontamination.op1_decontamination, language_id.op3_language_id, token_output.op5_token_output, simhash.op7_simhash, quality_rules.op8_quality_rules, warc.op10_warc)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.ORACLE}
+    return {"op1_decontamination": decontamination.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
