@@ -22,7 +22,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -117,31 +116,83 @@ def decode_block(data: bytes, n: int, tab: Table, lanes: int, slots: np.ndarray)
 
 
 class Words(dict):
-    """Ids of white-space-separated words as uint32 bytes; misses of a block are encoded together."""
+    """Ids of white-space-separated words as uint32 bytes.
 
-    LIMIT = 400_000
+    Where the vocabulary marks the ends of pre-tokenized pieces (end_of_word_suffix), a word's new pieces
+    are encoded many at a time, as one text of pieces between blanks, and told apart by these marks; words
+    beyond plain Latin characters and other vocabularies are encoded word by word.
+    """
+
+    LIMIT, PIECES = 400_000, 700_000
+    _PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+").fullmatch
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        steps = [made["normalizer"], *(made["normalizer"] or {}).get("normalizers", [])] if made["normalizer"] else []
+        first = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        suffix = made["model"].get("end_of_word_suffix")
+        cuts = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed"
+        self.split = None
+        if suffix and cuts and {"NFC", "Replace", "Lowercase"} == {s["type"] for s in steps} - {"Sequence"}:
+            self.split = regex.compile(first["pattern"]["Regex"]).findall
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        for lo in range(0, len(pieces), 2000):
+            part = pieces[lo : lo + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw = ids.tobytes()
+                cut = (4 * ends).tolist()
+                self.pieces.update(zip(part, (raw[a:b] for a, b in zip([0, *cut], cut, strict=False)), strict=True))
+            else:
+                self.pieces.update(zip(part, self._encoded(part), strict=True))
+
+    def _add(self, new: list[str]) -> None:
+        if self.split is None:
+            self.update(zip(new, self._encoded(new), strict=True))
+            return
+        plain = [w for w in new if self._PLAIN(w) and "<|" not in w]
+        rest = list(set(new).difference(plain))
+        self.update(zip(rest, self._encoded(rest), strict=True))
+        cut = [self.split(w.lower()) for w in plain]
+        if len(self.pieces) > self.PIECES:  # short ones come again most
+            self.pieces = dict(sorted(self.pieces.items(), key=lambda x: len(x[0]))[: self.PIECES // 2])
+        self._learn(list(set().union(*cut) - self.pieces.keys()))
+        get = self.pieces.__getitem__
+        self.update(zip(plain, (b"".join(map(get, p)) for p in cut), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts. No token of this kind of vocabulary spans white space, so words are
         encoded once each; a text with other white space than blank, tab and line ends goes whole."""
         cut = [None if _ODD.search(t) else t.split() for t in texts]
         if len(self) > self.LIMIT:
+            kept = sorted(self.items(), key=lambda x: len(x[0]))[: self.LIMIT // 2]
             self.clear()
-        new = list(set(chain.from_iterable(filter(None, cut))) - self.keys())
+            self.update(kept)
+        new = list(set().union(*filter(None, cut)) - self.keys())
         for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+            self._add(new[lo : lo + 20_000])
         get = self.__getitem__
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w))
-            for t, w in zip(texts, cut, strict=True)
-        ]
+        return [next(self._encoded([t])) if w is None else b"".join(map(get, w)) for t, w in zip(texts, cut, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def _words(path: str) -> Words:
+    """One cache for all tasks of a worker."""
+    return Words(path)
 
 
 def _file(docs: list[tuple[int | None, bytes]]) -> tuple[bytes, list[dict]]:
@@ -184,8 +235,8 @@ def _writer(root: str, path: str, end_id: int, file_tokens: int):
 
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, end, part = Words(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to other tasks
+        words, end, part = _words(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         held: list[tuple[int | None, bytes]] = []
         no = size = 0
 
