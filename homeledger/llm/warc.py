@@ -84,6 +84,7 @@ def _writer(root: str, file_bytes: int):
         from pyspark import TaskContext
 
         part, no, held, size = TaskContext.get().partitionId(), 0, [], 0
+        mark: tuple = (None, None)
 
         def flush() -> pa.RecordBatch:
             data, name = b"".join(held), f"part-{part:06d}-{no:05d}.warc.gz"
@@ -96,9 +97,13 @@ def _writer(root: str, file_bytes: int):
         first = _member(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, 'info')}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info + b"\r\n\r\n")
         for batch in blocks(batches, "html"):
             for r in batch.to_pylist():
+                own = (r["page_id"], r["digest"])
+                if not r["kind"]:
+                    mark = own, r["refers_to"]
+                    continue
                 payload = (r["html"] or "").encode()
                 held = held or [first]
-                made = _member(record(r["page_id"], r["url"] or "", payload, base32(hashlib.sha1(payload).digest()), r["refers_to"]))
+                made = _member(record(r["page_id"], r["url"] or "", payload, base32(bytes.fromhex(r["digest"])), mark[1] if mark[0] == own else None))
                 held.append(made)
                 size += len(made)
                 if size >= file_bytes:
@@ -119,10 +124,10 @@ def write_warc(pages: DataFrame, root: str | None = None, min_bytes: int = MIN_B
     own = pages.selectExpr("page_id", "sha1(CAST(coalesce(html, '') AS binary)) AS digest", "octet_length(coalesce(html, '')) AS n").where(f"n >= {int(min_bytes)}")
     top = own.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1 AND refers_to IS NOT NULL")
     twins = own.join(top.drop("c"), "digest").where("NOT page_id <=> refers_to").selectExpr("page_id AS twin", "digest", "refers_to").distinct()
-    marked = pages.withColumn("digest", F.expr("sha1(CAST(coalesce(html, '') AS binary))"))
-    marked = marked.join(twins, marked.page_id.eqNullSafe(twins.twin) & (marked.digest == twins.digest), "left")
-    rows = marked.select("page_id", "url", "html", "refers_to").repartitionByRange("page_id", F.xxhash64("url", "html"))
-    rows = rows.sortWithinPartitions("page_id", "url", F.xxhash64("html"), "html")
+    # the marks travel as rows of their own just before their page, so that html is moved once
+    marks = twins.selectExpr("twin AS page_id", "digest", "0 AS kind", "CAST(null AS string) AS url", "CAST(null AS string) AS html", "refers_to")
+    rows = pages.selectExpr("page_id", "sha1(CAST(coalesce(html, '') AS binary)) AS digest", "1 AS kind", "url", "html", "CAST(null AS bigint) AS refers_to")
+    rows = rows.unionByName(marks).repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url", "html")
     return written(rows.mapInArrow(_writer(root, file_bytes), MANIFEST), "warc-manifest").withColumn("root", F.lit(root))
 
 
