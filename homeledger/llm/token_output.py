@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import blocks, prepare, table, work_dir, written
+from .common import Slices, blocks, prepare, runs, spans_of, table, text_bytes, work_dir, written
 
 MAGIC = b"RANSTOK1"
 END_ID = 2
@@ -115,15 +115,20 @@ def decode_block(data: bytes, n: int, tab: Table, lanes: int, slots: np.ndarray)
     return ranks
 
 
-class Words(dict):
-    """Ids of white-space-separated words as uint32 bytes.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 13, 32]] = True
+
+
+class Words:
+    """Ids of white-space-separated words, known by their 64-bit hash, in flat arrays.
 
     Where the vocabulary marks the ends of pre-tokenized pieces (end_of_word_suffix), a word's new pieces
     are encoded many at a time, as one text of pieces between blanks, and told apart by these marks; words
     beyond plain Latin characters and other vocabularies are encoded word by word.
     """
 
-    LIMIT, PIECES = 400_000, 700_000
+    #: Words (about 30 bytes each) and pieces that a worker remembers; beyond, it starts anew.
+    LIMIT, PIECES = 3_000_000, 400_000
     _PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+").fullmatch
 
     def __init__(self, path: str):
@@ -132,6 +137,7 @@ class Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces: dict[str, bytes] = {}
+        self._forget()
         made = json.loads(self.tokenizer.to_str())
         steps = [made["normalizer"], *(made["normalizer"] or {}).get("normalizers", [])] if made["normalizer"] else []
         first = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
@@ -160,33 +166,73 @@ class Words(dict):
             else:
                 self.pieces.update(zip(part, self._encoded(part), strict=True))
 
-    def _add(self, new: list[str]) -> None:
+    def _forget(self) -> None:
+        self.keys, self.at, self.flat = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.number = np.zeros(0, np.int64)
+
+    def _ids(self, new: list[str]) -> list[bytes]:
         if self.split is None:
-            self.update(zip(new, self._encoded(new), strict=True))
-            return
-        plain = [w for w in new if self._PLAIN(w) and "<|" not in w]
-        rest = list(set(new).difference(plain))
-        self.update(zip(rest, self._encoded(rest), strict=True))
-        cut = [self.split(w.lower()) for w in plain]
+            return list(self._encoded(new))
+        plain = [i for i, w in enumerate(new) if self._PLAIN(w) and "<|" not in w]
+        rest = sorted(set(range(len(new))).difference(plain))
+        found: list[bytes] = [b""] * len(new)
+        for i, ids in zip(rest, self._encoded([new[i] for i in rest]), strict=True):
+            found[i] = ids
+        cut = [self.split(new[i].lower()) for i in plain]
         if len(self.pieces) > self.PIECES:  # short ones come again most
-            self.pieces = dict(sorted(self.pieces.items(), key=lambda x: len(x[0]))[: self.PIECES // 2])
+            self.pieces = {p: x for p, x in self.pieces.items() if len(p) <= 8}
+            if len(self.pieces) > self.PIECES // 2:
+                self.pieces = {}
         self._learn(list(set().union(*cut) - self.pieces.keys()))
         get = self.pieces.__getitem__
-        self.update(zip(plain, (b"".join(map(get, p)) for p in cut), strict=True))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts. No token of this kind of vocabulary spans white space, so words are
-        encoded once each; a text with other white space than blank, tab and line ends goes whole."""
-        cut = [None if _ODD.search(t) else t.split() for t in texts]
-        if len(self) > self.LIMIT:
-            kept = sorted(self.items(), key=lambda x: len(x[0]))[: self.LIMIT // 2]
-            self.clear()
-            self.update(kept)
-        new = list(set().union(*filter(None, cut)) - self.keys())
+        for i, p in zip(plain, cut, strict=True):
+            found[i] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
+        return found
+
+    def _add(self, keys: np.ndarray, new: list[str]) -> None:
+        """Takes in new words and their hashes."""
+        found: list[bytes] = []
         for lo in range(0, len(new), 20_000):
-            self._add(new[lo : lo + 20_000])
-        get = self.__getitem__
-        return [next(self._encoded([t])) if w is None else b"".join(map(get, w)) for t, w in zip(texts, cut, strict=True)]
+            found += self._ids(new[lo : lo + 20_000])
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        number = np.arange(len(self.at) - 1, len(self.at) - 1 + len(new))
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(sizes)))
+        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(found), "<u4")))
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.number = np.insert(self.keys, place, keys), np.insert(self.number, place, number)
+
+    def ids(self, column: pa.Array, end_id: int) -> list[np.ndarray]:
+        """Ids of whole texts, each with the end id. No token of this kind of vocabulary spans white space, so words
+        are encoded once each; a text with other white space than blank, tab and line ends goes whole."""
+        if len(self.keys) > self.LIMIT:
+            self._forget()
+        data, offs = text_bytes(column)
+        odd = [i for i, t in enumerate(column.to_pylist()) if t and _ODD.search(t)]
+        starts, ends = runs(~_SPACE[data], offs)
+        row = np.searchsorted(offs, starts, "right") - 1
+        if odd:
+            keep = ~np.isin(row, odd)
+            starts, ends, row = starts[keep], ends[keep], row[keep]
+        keys, first, inverse = np.unique(Slices(data).hashes(starts, ends), return_index=True, return_inverse=True)
+        if len(keys):
+            place = np.searchsorted(self.keys, keys)
+            known = np.zeros(len(keys), bool)
+            inside = place < len(self.keys)
+            known[inside] = self.keys[place[inside]] == keys[inside]
+            new = np.flatnonzero(~known)
+            raw = data.tobytes()
+            cut = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            self._add(keys[new], [raw[a:b].decode() for a, b in cut])
+            number = self.number[np.searchsorted(self.keys, keys)][inverse]
+            at, sizes = self.at[number], self.at[number + 1] - self.at[number]
+        else:
+            at = sizes = np.zeros(0, np.int64)
+        total = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(row, np.arange(len(column) + 1))]
+        flat = np.insert(self.flat[spans_of(sizes, at)], total[1:], np.uint32(end_id))
+        out = np.split(flat, (total[1:] + np.arange(1, len(column) + 1))[:-1])
+        for i in odd:
+            out[i] = np.frombuffer(next(self._encoded([column[i].as_py()])) + np.array([end_id], "<u4").tobytes(), "<u4")
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -195,10 +241,10 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
-def _file(docs: list[tuple[int | None, bytes]]) -> tuple[bytes, list[dict]]:
+def _file(docs: list[tuple[int | None, np.ndarray]]) -> tuple[bytes, list[dict]]:
     """One file of (doc_id, uint32 ids) and its checkpoints."""
-    ids = np.frombuffer(b"".join(x for _, x in docs), "<u4")
-    sizes = np.array([len(x) // 4 for _, x in docs], np.int64)
+    ids = np.concatenate([x for _, x in docs])
+    sizes = np.array([len(x) for _, x in docs], np.int64)
     counts = np.bincount(ids)
     symbols = np.flatnonzero(counts)
     tab = Table.fit(symbols, counts[symbols])
@@ -236,8 +282,8 @@ def _writer(root: str, path: str, end_id: int, file_tokens: int):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to other tasks
-        words, end, part = _words(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
-        held: list[tuple[int | None, bytes]] = []
+        words, part = _words(path), TaskContext.get().partitionId()
+        held: list[tuple[int | None, np.ndarray]] = []
         no = size = 0
 
         def flush() -> pa.RecordBatch:
@@ -249,10 +295,9 @@ def _writer(root: str, path: str, end_id: int, file_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in kinds.items()], list(kinds))
 
         for batch in blocks(batches, "text"):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.ids(texts), strict=True):
-                held.append((doc_id, ids + end))
-                size += len(ids) // 4 + 1
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.ids(batch.column("text"), end_id), strict=True):
+                held.append((doc_id, ids))
+                size += len(ids)
                 if size >= file_tokens:
                     yield flush()
                     held, no, size = [], no + 1, 0
