@@ -193,4 +193,5 @@ def connected_components(edges: DataFrame, name: str, most: int = 60) -> DataFra
         e = written(small.unionByName(least.selectExpr("u", "m AS v")).distinct(), name)
     else:
         raise RuntimeError("components did not settle")
+    e = e.unionByName(e.selectExpr("v AS u", "v"))  # the least nodes themselves
     return e.groupBy("u").agg(F.min("v").alias("component")).selectExpr("u AS node", "component")

@@ -277,7 +277,7 @@ def repeats(texts: DataFrame) -> DataFrame:
 
     split = first.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
     part = first.join(split, "h").select("h", "many", F.col("f.d").alias("d"), F.col("f.t").alias("t"), F.col("f.lo").alias("lo"))
-    part = written(seen.drop("c").join(part, ["h", "d", "t", "lo"]), "contexts-split")
+    part = written(seen.drop("c").join(part, ["h", "d", "t", "lo"]).dropDuplicates(["h", "d", "t", "lo"]), "contexts-split")  # repeated rows
     few = part.where(f"many <= {GROUP}").select("h", "d", "t", "lo", "hi", "a", "ctx")
     tasks = max(1, -(-few.count() // 4000))  # given outright: sorting costs more than its bytes say
     few = few.repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_groups, "d long, t long, s int, e int")
