@@ -26,10 +26,9 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 EXACT_WORDS, NEAR_WORDS = 3, 8
-#: Bits of each marker of lines that go on to step 3; above a quarter as many lines, they are joined.
-BITS = 24
+#: Bits of the bitmap of halves that different lines share (16 MB); above a quarter as many, they are joined.
+BITS = 27
 _LAST = (1 << 63) - 1
-_POS = "struct<d:bigint,t:bigint,l:int>"
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -40,30 +39,44 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def _words(line: str) -> Column:
-    return F.filter(F.split(line, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    return F.split(line, " ")
 
 
 def hashed(rows: DataFrame) -> DataFrame:
-    """Lines of enough words with their hashes: h1, h2 of all words, and those of the halves.
+    """Lines (as s: words and single blanks) of enough words with their hashes: h1, h2 of all words, and of the halves.
 
-    For M of n and n - 1 words, p<M> hashes the first M div 2 words and s<M> the last M - M div 2.
+    halves: for M of n and n - 1 words, a hash of the first M div 2 words and one of the last M - M div 2.
     """
-    rows = rows.withColumn("w", _words("line"))
-    rows = rows.withColumn("n", F.size("w")).where(F.col("n") >= EXACT_WORDS)
-    half = "CASE WHEN n >= {least} THEN array({parts}) END"
-    parts = [f"xxhash64({m}, {k}, slice(w, {a}, {b}))" for m in ("n", "n - 1") for k, a, b in ((0, "1", f"CAST(({m}) div 2 AS int)"), (1, f"n - CAST(({m}) - ({m}) div 2 AS int) + 1", f"CAST(({m}) - ({m}) div 2 AS int)"))]
-    return rows.select("pos", "n", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"), F.expr(half.format(least=NEAR_WORDS - 1, parts=", ".join(parts))).alias("halves"))
+    untidy = F.rlike("line", F.lit("[\\x09-\\x0D]|\\x20\\x20|^\\x20|\\x20$"))
+    tidy = F.when(untidy, F.btrim(F.regexp_replace("line", "[\\x20\\x09-\\x0D]+", " "), F.lit(" "))).otherwise(F.col("line"))
+    rows = rows.select("pos", tidy.alias("s"))
+    rows = rows.withColumn("n", F.expr("CASE WHEN s <> '' THEN octet_length(s) - octet_length(replace(s, ' ', '')) + 1 ELSE 0 END")).where(F.col("n") >= EXACT_WORDS)
+    parts = [f"xxhash64({m}, {k}, substring_index(s, ' ', CAST({words} AS int)))" for m in ("n", "n - 1") for k, words in ((0, f"({m}) div 2"), (1, f"({m}) div 2 - ({m})"))]
+    halves = F.expr(f"CASE WHEN n >= {NEAR_WORDS - 1} THEN array({', '.join(parts)}) END")
+    return rows.select("pos", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), halves.alias("halves"), "s")
 
 
-def _bit(rows: DataFrame, marks: DataFrame, name: str, bits: int) -> DataFrame:
-    """rows (pos) with a Boolean: whether marks (pos) may hold the row's. Bitmaps of 2**bits bits in all."""
-    at = F.pmod(F.xxhash64("pos"), F.lit(1 << bits))
-    maps = marks.select(at.alias("x")).select((F.col("x") / 32768).cast("int").alias("part"), (F.col("x") % 32768).alias("bit"))
-    maps = maps.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
-    rows = rows.withColumn("x", at).withColumn("part", (F.col("x") / 32768).cast("int")).join(F.broadcast(maps), "part", "left")
-    byte = F.expr("CAST(conv(hex(substring(map, CAST((x % 32768) / 8 AS int) + 1, 1)), 16, 10) AS int)")
-    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, CAST(x % 8 AS int))")) != 0, F.lit(False))
-    return rows.withColumn(name, hit).drop("x", "part", "map")
+def _held(rows: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
+    """rows (halves) with front and back: whether a first or a last half may be among keys (half).
+
+    Where the keys are few, a bitmap of 2**bits bits says so (broadcast, of fixed size; false positives only cost
+    time); else a join.
+    """
+    if keys.count() <= (1 << bits) // 4:
+        x = F.col("half").bitwiseAND((1 << bits) - 1)
+        maps = keys.select(x.alias("x")).select(F.expr("CAST(shiftright(x, 15) AS int)").alias("part"), F.expr("x & 32767").alias("bit"))
+        maps = maps.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
+        hits = []
+        for j in range(4):
+            rows = rows.withColumn("x", F.col("halves")[j].bitwiseAND((1 << bits) - 1)).withColumn("part", F.expr("CAST(shiftright(x, 15) AS int)"))
+            rows = rows.join(F.broadcast(maps), "part", "left")
+            byte = F.expr("CAST(conv(hex(substring(map, CAST((x & 32767) / 8 AS int) + 1, 1)), 16, 10) AS int)")
+            rows = rows.withColumn(f"hit{j}", F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, CAST(x & 7 AS int))")) != 0, F.lit(False))).drop("x", "part", "map")
+            hits.append(f"hit{j}")
+        return rows.withColumn("front", F.col(hits[0]) | F.col(hits[2])).withColumn("back", F.col(hits[1]) | F.col(hits[3])).drop(*hits)
+    own = rows.select("pos", F.posexplode("halves").alias("j", "half")).join(keys, "half")
+    own = own.groupBy("pos").agg(F.max(F.col("j") % 2 == 0).alias("front"), F.max(F.col("j") % 2 == 1).alias("back"))
+    return rows.join(own, "pos")
 
 
 def variants(rows: DataFrame) -> DataFrame:
@@ -95,23 +108,20 @@ def _within(a: str, b: str) -> Column:
 
 def removed_lines(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """(pos, near) of each line that is removed; near: it has no equal earlier line."""
-    narrow = written(hashed(lines(docs)), "lines")
-    first = narrow.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves"))
-    first = written(first, "lines-distinct")
-    again = first.where("c > 1").select("h1", "h2", "first")
-    exact = narrow.select("pos", "h1", "h2").join(again, ["h1", "h2"]).where("first < pos").select("pos", F.lit(False).alias("near"))
-
-    halves = first.where("halves IS NOT NULL").select(F.col("first").alias("pos"), F.posexplode("halves").alias("j", "half"))
-    shared = halves.groupBy("half").agg(F.min("pos").alias("low"), F.max("pos").alias("high")).where("low <> high").select("half")
-    marked = written(halves.join(shared, "half").groupBy("pos").agg(F.max(F.col("j") % 2 == 0).alias("front"), F.max(F.col("j") % 2 == 1).alias("back")), "lines-halves")
-
-    rows = lines(docs)
-    if marked.count() <= (1 << bits) // 4:
-        rows = _bit(_bit(rows, marked.where("front"), "front", bits), marked.where("back"), "back", bits).where("front OR back")
-    else:
-        rows = rows.join(marked, "pos")
-    rows = rows.distinct().withColumn("w", _words("line")).drop("line")
-    rows = written(rows.withColumn("n", F.size("w")).where(F.col("n") >= NEAR_WORDS - 1), "lines-near")
+    whole = hashed(lines(docs))
+    narrow = written(whole.drop("s"), "lines")
+    again = narrow.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    again = written(narrow.select("pos", "h1", "h2").join(again, ["h1", "h2"]), "lines-equal")
+    first = again.groupBy("h1", "h2").agg(F.min("pos").alias("first"))
+    exact = again.join(first, ["h1", "h2"]).where("first < pos").select("pos", F.lit(False).alias("near"))
+
+    halves = narrow.where("halves IS NOT NULL").select("h1", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half")
+    shared = written(shared, "lines-halves")
+
+    rows = _held(whole.where("halves IS NOT NULL"), shared, bits).where("front OR back")
+    rows = rows.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.first("s").alias("s"), F.max("front").alias("front"), F.max("back").alias("back"))
+    rows = written(rows.select("pos", "front", "back", _words("s").alias("w")).withColumn("n", F.size("w")), "lines-near")
 
     # the earliest line of each key and deleted word, then of each key
     keys = variants(rows)
