@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that an Arrow-based operator works on at a time; one longer text is a block of its own.
@@ -150,6 +150,21 @@ def spans_of(lens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return base + np.arange(total, dtype=np.int64)
 
 
+def bitmap(keys: DataFrame, column: str, bits: int) -> DataFrame:
+    """(part, map): a bitmap of 2**bits bits of the low bits of a long column, in parts of 4 kB."""
+    low = F.col(column).bitwiseAND((1 << bits) - 1)
+    rows = keys.select(low.alias("x")).select(F.expr("CAST(shiftright(x, 15) AS int)").alias("part"), F.expr("x & 32767").alias("bit"))
+    return rows.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
+
+
+def with_bit(rows: DataFrame, key: Column, maps: DataFrame, bits: int, name: str) -> DataFrame:
+    """rows with whether the bitmap holds a long key: false positives only. Broadcasts 2**bits bits."""
+    rows = rows.withColumn("_x", key.bitwiseAND((1 << bits) - 1)).withColumn("part", F.expr("CAST(shiftright(_x, 15) AS int)"))
+    rows = rows.join(F.broadcast(maps), "part", "left")
+    byte = F.expr("CAST(conv(hex(substring(map, CAST((_x & 32767) / 8 AS int) + 1, 1)), 16, 10) AS int)")
+    return rows.withColumn(name, F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, CAST(_x & 7 AS int))")) != 0, F.lit(False))).drop("_x", "part", "map")
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n nodes the least node that it reaches over the links a-b."""
     label = np.arange(n, dtype=np.int64)

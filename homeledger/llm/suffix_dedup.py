@@ -8,8 +8,8 @@ that it covers, is a context.
 1. Hashes of anchors are counted (partial sums, 8 bytes a row). Those that occur once are done with.
 2. Contexts of the others are written, found through a bitmap of fixed size. Of equal contexts all but the
    earliest repeat wholly: partial minima and a join, without a task for a hot passage.
-3. Different contexts with the same anchor repeat in part. The anchors' first contexts, their shared anchor
-   as one symbol, are concatenated in blocks; a suffix array gives the order of their strings, equal ones
+3. Different contexts with the same anchor repeat in part. Those of the anchors' first contexts that share
+   more than the anchor, the anchor as one symbol, are concatenated in blocks; a suffix array gives the order of their strings, equal ones
    adjacent, and all but the earliest of these repeat. Anchors with more than GROUP contexts are
    not gathered in a task: their strings are summed up by hash instead.
 
@@ -33,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTES, _powers, blocks, prepare, spans_of, table, text_bytes, written
+from .common import _BYTES, _powers, bitmap, blocks, prepare, spans_of, table, text_bytes, with_bit, written
 
 LENGTH, GRAM = 100, 56
 #: Bits of the bitmap of anchors that occur more than once (16 MB).
 BITS = 27
+#: Bits of the bitmaps of contexts that go on (4 MB); ranges of starts whose shared bytes are compared.
+MARK_BITS, SEGMENTS = 25, 4
 #: Contexts of an anchor that one task sorts; symbols of a block.
 GROUP, BLOCK = 1000, 200_000
 #: Texts with the most copies, told apart before all else: a fixed bound.
@@ -256,6 +258,29 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _promising(part: DataFrame) -> DataFrame:
+    """Contexts that may share a string with another one of their anchor.
+
+    Strings that start d bytes before the anchor, d in one of SEGMENTS ranges, share the bytes that all strings
+    of that range hold; a context without a shared one has nothing to offer. Hashes of these are counted.
+    """
+    edge = [(LENGTH - GRAM + 1) * i // SEGMENTS for i in range(SEGMENTS + 1)]
+    keys = []
+    for i, (d0, d1) in enumerate(zip(edge, (e - 1 for e in edge[1:]), strict=False)):
+        held = F.expr(f"substring(ctx, a - lo - {d0} + 1, {LENGTH - d1 + d0})")
+        keys.append(F.when(F.expr(f"a - lo >= {d0} AND a - hi <= {d1}"), F.xxhash64("h", F.lit(i), held)))
+    part = part.withColumn("keys", F.array(*keys))
+    shared = part.select(F.explode(F.array_compact("keys")).alias("k")).groupBy("k").count().where("count > 1").select("k")
+    shared = written(shared, "contexts-shared")
+    if shared.count() > (1 << MARK_BITS) // 4:
+        return part.drop("keys")
+    maps, hits = bitmap(shared, "k", MARK_BITS), F.lit(False)
+    for i in range(SEGMENTS):
+        part = with_bit(part, F.coalesce(F.col("keys")[i], F.lit(0)), maps, MARK_BITS, f"hit{i}")
+        hits = hits | (F.col(f"hit{i}") & F.col("keys")[i].isNotNull())
+    return part.where(hits).drop("keys", *(f"hit{i}" for i in range(SEGMENTS)))
+
+
 def repeats(texts: DataFrame) -> DataFrame:
     """Spans (d, t, s, e), overlapping, of bytes covered by strings that start earlier; texts: (d, t, text)."""
     spark = texts.sparkSession
@@ -275,14 +300,21 @@ def repeats(texts: DataFrame) -> DataFrame:
     again = seen.select("d", "t", "lo", "hi", "h", "c").join(first.where("n > 1").select("h", "c", "f"), ["h", "c"])
     whole = again.where("struct(d, t, lo) <> f").selectExpr("d", "t", "lo AS s", f"hi + {LENGTH} AS e")
 
-    split = first.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
-    part = first.join(split, "h").select("h", "many", F.col("f.d").alias("d"), F.col("f.t").alias("t"), F.col("f.lo").alias("lo"))
-    part = written(seen.drop("c").join(part, ["h", "d", "t", "lo"]).dropDuplicates(["h", "d", "t", "lo"]), "contexts-split")  # repeated rows
-    few = part.where(f"many <= {GROUP}").select("h", "d", "t", "lo", "hi", "a", "ctx")
+    split = first.groupBy("h").agg(F.count("*").alias("many")).where("many > 1").select("h")
+    part = written(first.join(split, "h").select("h", F.col("f.d").alias("d"), F.col("f.t").alias("t"), F.col("f.lo").alias("lo")), "contexts-part")
+    own = seen.drop("c")
+    if part.count() <= (1 << MARK_BITS) // 4:  # few: a bitmap keeps the others' bytes from being moved
+        key = F.xxhash64("h", "d", "t", "lo")
+        own = with_bit(own, key, bitmap(part.select(key.alias("k")), "k", MARK_BITS), MARK_BITS, "may").where("may").drop("may")
+    part = written(own.join(part, ["h", "d", "t", "lo"]).dropDuplicates(["h", "d", "t", "lo"]), "contexts-split")  # repeated rows
+    part = _promising(part)
+    hot = part.groupBy("h").agg(F.count("*").alias("many")).where(f"many > {GROUP}")
+    part = part.join(hot, "h", "left")
+    few = part.where("many IS NULL").select("h", "d", "t", "lo", "hi", "a", "ctx")
     tasks = max(1, -(-few.count() // 4000))  # given outright: sorting costs more than its bytes say
     few = few.repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_groups, "d long, t long, s int, e int")
 
-    hot = part.where(f"many > {GROUP}").select("h", "d", "t", F.posexplode(F.sequence("lo", "hi")).alias("j", "s"), "ctx")
+    hot = part.where("many IS NOT NULL").select("h", "d", "t", F.posexplode(F.sequence("lo", "hi")).alias("j", "s"), "ctx")
     hot = hot.select("h", F.xxhash64(F.expr(f"substring(ctx, j + 1, {LENGTH})")).alias("w"), F.struct("d", "t", "s").alias("p"))
     earliest = hot.groupBy("h", "w").agg(F.min("p").alias("f"), F.count("*").alias("n")).where("n > 1").select("h", "w", "f")
     hot = hot.join(earliest, ["h", "w"]).where("p <> f").selectExpr("p.d", "p.t", "p.s", f"p.s + {LENGTH} AS e")
