@@ -54,7 +54,7 @@ def order_statistics_of(df: DataFrame, wanted: dict[str, tuple[Column, list[int]
 
 def middle_ranks(n: int) -> list[int]:
     """Ranks (from 1) that medians of n and of n - 1 of the values can need."""
-    return sorted({k for k in ((n - 1) // 2, n // 2, (n + 1) // 2, n // 2 + 1) if 1 <= k <= n})
+    return [k for k in range((n - 1) // 2, (n - 1) // 2 + 3) if 1 <= k <= n]
 
 
 def loo_median(value: Column, member: Column, stats: dict[int, float], n: int) -> tuple[Column, Column]:
