@@ -541,6 +541,94 @@ def enum_parse(spark, sf):
     return raw.groupBy(enum("raw", ("Confirmed", "Likely", "Unclear", "Conflict")).alias("label")).agg(F.count("*").alias("n"))
 
 
+# ---- read models and small steps ---------------------------------------------------------------------------
+
+_ROOMS = "coalesce(CAST(private_rooms AS VARCHAR) || CASE WHEN kitchen_living THEN '+K' ELSE '' END, '—')"
+
+
+@query(f"{M}, r AS (SELECT *, CAST(row_number() OVER (ORDER BY transport_score IS NULL, coalesce(transport_score, 0) DESC, price_eur, listing_id) AS INT) AS position FROM market WHERE {_BASE}) SELECT position, listing_id, CAST(round(transport_score) AS INT) AS score, CASE WHEN transport_score IS NULL THEN 'unknown' WHEN transport_score >= 80 THEN 'high' WHEN transport_score >= 60 THEN 'medium' WHEN transport_score >= 40 THEN 'low' ELSE 'very_low' END AS bucket, district, coalesce(street, 'Unknown street') AS address, {_ROOMS} AS ai_rooms, CASE WHEN coalesce(room_conflict, false) THEN 'mismatch' WHEN kitchen_living OR private_rooms IS NULL THEN 'neutral' ELSE 'ai' END AS rooms_type, CAST(declared_rooms AS VARCHAR) AS ss_rooms, CAST(CAST(area_m2 AS BIGINT) AS VARCHAR) || ' m²' AS area, replace(format('{{:,}}', price_eur), ',', ' ') || ' €' AS price FROM r WHERE position <= 100")
+def ranking_rows(spark, sf):
+    rows = bind(spark, sf, "market").withColumn("score", F.col("transport_score")).withColumn("price_value_score", F.lit(None).cast("double")).withColumn("suspicious", F.lit(False))
+    return views.ranking_rows(ranking.ranked(rows, FilterSpec(), 100)).drop("flags")
+
+
+_DETAIL = [
+    ("Favorite", "is_favorite"), ("Rejected", "is_rejected"), ("Inactive", "status = 'inactive'"), ("Room conflict", "room_conflict"), ("Layout unclear", "layout_label = 'Unclear'"),
+    ("Layout confirmed by floor plan", "has_floor_plan AND coalesce(layout_label = 'Confirmed', false)"), ("Floor plan", "has_floor_plan AND NOT coalesce(layout_label = 'Confirmed', false)"),
+    ("Kitchen-living is not counted as private room", "kitchen_living"), ("High mortgage risk", "risk IN ('High', 'Critical')"), ("Stove heating risk", "stove"), ("Wooden building risk", "wooden"),
+]
+
+
+@query(f"{M} SELECT listing_id, coalesce(nullif(concat_ws('; ', {', '.join(f"""CASE WHEN {c} THEN '{k}' END""" for k, c in _DETAIL)}, CASE WHEN private_rooms IS NOT NULL THEN 'AI: ' || private_rooms || ' private' || CASE WHEN kitchen_living THEN ' + kitchen-living' ELSE '' END || ' / SS: ' || declared_rooms END), ''), 'No major flags') AS flags FROM market")
+def detail_flags(spark, sf):
+    rows = bind(spark, sf, "market").withColumn("suspicious", F.lit(False))
+    return rows.select("listing_id", F.array_join(views.detail_flags(), "; ").alias("flags"))
+
+
+@query(f"{SCORED} SELECT listing_id, concat_ws(', ', CASE WHEN price_value_score >= 80 THEN 'Good price' END, CASE WHEN transport_score >= 70 THEN 'Strong transport' END, CASE WHEN layout_label = 'Confirmed' THEN 'Layout confirmed' END, CASE WHEN is_favorite THEN 'Favorite' END, CASE WHEN room_conflict THEN 'Room conflict' END, CASE WHEN risk IN ('High', 'Critical') THEN 'High mortgage risk' END) AS badges FROM blocks")
+def detail_badges(spark, sf):
+    return scoring.with_blocks(bind(spark, sf, "market")).select("listing_id", F.array_join(views.badges(), ", ").alias("badges"))
+
+
+@query(f"{S} SELECT listing_id, is_favorite, is_rejected, is_viewed FROM states UNION ALL SELECT listing_id, false, false, false FROM listings WHERE listing_id NOT IN (SELECT listing_id FROM states)")
+def insert_missing_states(spark, sf):
+    fresh = bind(spark, sf, "listings").select("listing_id", *(F.lit(False).alias(c) for c in ("is_favorite", "is_rejected", "is_viewed")))
+    return changes.insert_missing(bind(spark, sf, "states"), fresh, "listing_id")
+
+
+@query("SELECT user_id, arg_max(event_type, ts) AS event_type, arg_max(event_id, ts) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
+def latest_wins(spark, sf):
+    rows = load(spark, sf, "events").select("user_id", "event_type", "event_id", "ts")
+    return changes.latest_wins(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), ["user_id"], "ts")
+
+
+@query("WITH s AS (SELECT p_partkey AS ss_id, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS district, CASE WHEN p_partkey % 3 = 0 THEN p_size END AS rooms FROM part), d AS (SELECT p_partkey AS ss_id, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN p_type END AS district, CASE WHEN p_partkey % 5 = 0 THEN 0 END AS rooms FROM part WHERE p_partkey % 7 <> 0) SELECT s.ss_id, coalesce(nullif(d.district, ''), nullif(s.district, '')) AS district, coalesce(d.rooms, s.rooms) AS rooms FROM s LEFT JOIN d USING (ss_id)")
+def summary_detail_merge(spark, sf):
+    part = load(spark, sf, "part")
+    summary = part.selectExpr("p_partkey AS ss_id", "CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS district", "CASE WHEN p_partkey % 3 = 0 THEN p_size END AS rooms")
+    detail = part.where("p_partkey % 7 <> 0").selectExpr("p_partkey AS ss_id", "CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN p_type END AS district", "CASE WHEN p_partkey % 5 = 0 THEN 0 END AS rooms")
+    return star.merged_listing(summary, detail, text=("district",), plain=("rooms",))
+
+
+@query(f"{P}, top AS (SELECT listing_id FROM places WHERE status = 'active' ORDER BY score DESC NULLS LAST, listing_id LIMIT 25) SELECT listing_id, lat, lon FROM places WHERE listing_id IN (SELECT listing_id FROM top)")
+def visible_markers(spark, sf):
+    rows = bind(spark, sf, "places")
+    shown = rows.where("status = 'active'").orderBy(F.col("score").desc_nulls_last(), "listing_id").limit(25)
+    return filters.by_ids(places.markers(rows), shown).select("listing_id", "lat", "lon")
+
+
+@query(f"{P} SELECT poi_id, poi_name, category, CAST(row_number() OVER (ORDER BY poi_name NULLS FIRST, poi_id) AS INT) AS position FROM pois QUALIFY position <= 40")
+def poi_order(spark, sf):
+    return ranking.top(bind(spark, sf, "pois"), 40, [F.col("poi_name").asc_nulls_first(), F.col("poi_id").asc()]).select("poi_id", "poi_name", "category", "position")
+
+
+@query(f"{C}, k AS (SELECT listing_id, arg_min(price_eur, checked_at) AS o, arg_max(price_eur, checked_at) AS l, count(*) AS n FROM snapshots WHERE price_eur IS NOT NULL GROUP BY listing_id) SELECT listing_id, CASE WHEN l < o THEN '-' ELSE '+' END || abs(CAST(round((l - o) / CAST(o AS DOUBLE) * 100) AS BIGINT)) || '%' AS text, CASE WHEN l < o THEN 'good' ELSE 'risk' END AS kind FROM k WHERE n >= 2 AND o > 0 AND l <> o")
+def price_trend_text(spark, sf):
+    return views.history_lines(changes.price_trend(bind(spark, sf, "snapshots")))
+
+
+@query(f"{M} SELECT listing_id, 'Price: ' || replace(format('{{:,}}', price_eur), ',', ' ') || ' EUR' AS price, 'Area: ' || CAST(CAST(area_m2 AS BIGINT) AS VARCHAR) || ' m2' AS area, 'Street: ' || coalesce(street, 'unknown') AS street, 'Building series: ' || coalesce(series, 'unknown') AS series FROM market")
+def detail_lines(spark, sf):
+    rows = market.with_prices(bind(spark, sf, "market")).select("listing_id", views.top_lines().alias("x"))
+    return rows.select("listing_id", F.col("x")[0].alias("price"), F.col("x")[1].alias("area"), F.col("x")[4].alias("street"), F.col("x")[5].alias("series"))
+
+
+@query("SELECT page_id, coalesce(try_cast(nullif(regexp_extract(url, '/page([0-9]+)\\.html(?:$|[?#])', 1), '') AS INT), 1) AS page FROM pages")
+def page_numbers(spark, sf):
+    return load(spark, sf, "pages").select("page_id", text.page_number("url").alias("page"))
+
+
+@query("SELECT conv_id, coalesce(nullif(trim(max(text) FILTER (WHERE role = 'tool')), ''), nullif(trim(min(text) FILTER (WHERE role = 'user')), ''), '') <> '' AS said FROM conversations GROUP BY conv_id")
+def first_text(spark, sf):
+    rows = load(spark, sf, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("role") == "tool", F.col("text"))).alias("a"), F.min(F.when(F.col("role") == "user", F.col("text"))).alias("b"))
+    return rows.select("conv_id", (text.first_text("a", "b") != "").alias("said"))
+
+
+@query()
+def score_breakdown(spark, sf):
+    return scoring.breakdown_json(scoring.with_blocks(bind(spark, sf, "market")))
+
+
 @query()
 def page_links(spark, sf):
     return pages.page_links(load(spark, sf, "pages"))
