@@ -63,10 +63,11 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of words one after another, and how many each word has."""
-    upper = (data[starts] >= 65) & (data[starts] <= 90)
-    data = _LOWER[data]
-    cut, size = Slices(data), ends - starts
+    """Feature numbers of words one after another, and how many each word has; only these words' bytes are hashed."""
+    upper, size = (data[starts] >= 65) & (data[starts] <= 90), ends - starts
+    data = _LOWER[data[spans_of(size, starts)]]
+    ends = np.cumsum(size)
+    starts, cut = ends - size, Slices(data)
     mask = np.uint64((1 << BITS) - 1)
     kinds = []
     slot = lambda h, kind: ((h ^ np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & mask).astype(np.int32)
