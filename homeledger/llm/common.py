@@ -105,11 +105,20 @@ _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 
 
-@lru_cache(maxsize=2)
+_tables: list[np.ndarray] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _P, np.uint64), np.full(n, _P_INV, np.uint64)
-    up[:1] = down[:1] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """The first n powers of the multiplier and of its inverse, from one table a process."""
+    if not _tables or len(_tables[0]) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        made = []
+        for base in (_P, _P_INV):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            made.append(np.multiply.accumulate(x, out=x))
+        _tables[:] = made
+    return _tables[0][:n], _tables[1][:n]
 
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -119,10 +128,11 @@ class Slices:
     """64-bit hashes of many slices of one byte array, equal for equal bytes, in constant time each."""
 
     def __init__(self, data: np.ndarray):
-        n = 1 << max(12, int(len(data)).bit_length())
-        self.up, self.down = _powers(n)
+        up, self.down = _powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * self.up[: len(data)], out=self.sums[1:])
+        part = _BYTES[data]
+        part *= up[: len(data)]
+        np.cumsum(part, out=self.sums[1:])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self.sums[ends] - self.sums[starts]) * self.down[starts]

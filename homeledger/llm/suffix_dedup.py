@@ -120,7 +120,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     n = len(data) - length + 1
     if n <= 0:
         return none
-    up, down = _powers(1 << max(12, int(len(data)).bit_length()))
+    up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
     raw = sums[gram:] - sums[:-gram]
@@ -152,7 +152,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
 
 def _located(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, gram: int) -> np.ndarray:
     """Start of the anchor in each run: its least substring's first place, by the same hash."""
-    up, down = _powers(1 << max(12, length.bit_length() + 2))
+    up, down = _powers(length + 1)
     at = np.empty(len(lo), np.int64)
     width = length - gram + 1
     for a in range(0, len(lo), 20_000):
