@@ -15,7 +15,7 @@ from homeledger.llm import decontamination, language_id, mixing, simhash, token_
 from homeledger.llm.common import table, written
 
 #: Texts whose language is less certain than this go, as do those without any letter.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 #: A null doc_id's key: above any usual id.
 KEY = "coalesce(CAST(doc_id AS bigint), shiftrightunsigned(xxhash64(text), 2) + 4611686018427387904)"
 

@@ -31,7 +31,7 @@ SAMPLE_DOCS, SAMPLE_BYTES = 300, 6_000_000
 MOST_LABELS = 400
 BITS, AFFIX, EPOCHS, RATE, SEED = 18, 4, 3, 0.3, 7
 #: Words in one training batch.
-BATCH_WORDS = 40_000
+BATCH_WORDS = 6_000
 UND = "und"
 
 
