@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +35,11 @@ def top(df: DataFrame, n: int, order: list[Column] | None = None) -> DataFrame:
 def positions(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """All rows with their position, by a range sort: each partition numbers its rows after those before it.
 
-    The counts of partitions, one number each, meet in one task; the rows do not.
+    The counts of partitions, one number each, meet in one task; the rows do not. The sorted rows are kept on
+    executors' disks, so that counts and rows come from the same ranges.
     """
     order = order or ranking_order()
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(1 << 33))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(1 << 33)).persist(StorageLevel.DISK_ONLY)
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return ranged.join(F.broadcast(before), "_p").withColumn("position", (F.col("_before") + F.col("_i") + 1).cast("int")).drop("_p", "_i", "_before")
