@@ -41,9 +41,18 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives lost executors."""
-    at = work_dir(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(at)
+    """df as a table in the shared folder: cuts lineage and survives lost executors.
+
+    Shuffle files of the job go as soon as the table is there, not when the driver collects its garbage.
+    """
+    at, conf = work_dir(df.sparkSession, name), df.sparkSession.conf
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.option("compression", codec).parquet(at)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
