@@ -307,14 +307,16 @@ def repeats(texts: DataFrame) -> DataFrame:
         key = F.xxhash64("h", "d", "t", "lo")
         own = with_bit(own, key, bitmap(part.select(key.alias("k")), "k", MARK_BITS), MARK_BITS, "may").where("may").drop("may")
     part = written(own.join(part, ["h", "d", "t", "lo"]).dropDuplicates(["h", "d", "t", "lo"]), "contexts-split")  # repeated rows
-    part = _promising(part)
-    hot = part.groupBy("h").agg(F.count("*").alias("many")).where(f"many > {GROUP}")
-    part = part.join(hot, "h", "left")
-    few = part.where("many IS NULL").select("h", "d", "t", "lo", "hi", "a", "ctx")
-    tasks = max(1, -(-few.count() // 4000))  # given outright: sorting costs more than its bytes say
+    part = written(_promising(part), "contexts-promising")
+    often = written(part.groupBy("h").agg(F.count("*").alias("many")).where(f"many > {GROUP}").select("h"), "anchors-hot")
+    crowded = often.count() > 0
+    few = (part.join(often, "h", "left_anti") if crowded else part).select("h", "d", "t", "lo", "hi", "a", "ctx")
+    tasks = max(1, -(-part.count() // 4000))  # given outright: sorting costs more than its bytes say
     few = few.repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_groups, "d long, t long, s int, e int")
+    if not crowded:
+        return whole.unionByName(few)
 
-    hot = part.where("many IS NOT NULL").select("h", "d", "t", F.posexplode(F.sequence("lo", "hi")).alias("j", "s"), "ctx")
+    hot = part.join(often, "h").select("h", "d", "t", F.posexplode(F.sequence("lo", "hi")).alias("j", "s"), "ctx")
     hot = hot.select("h", F.xxhash64(F.expr(f"substring(ctx, j + 1, {LENGTH})")).alias("w"), F.struct("d", "t", "s").alias("p"))
     earliest = hot.groupBy("h", "w").agg(F.min("p").alias("f"), F.count("*").alias("n")).where("n > 1").select("h", "w", "f")
     hot = hot.join(earliest, ["h", "w"]).where("p <> f").selectExpr("p.d", "p.t", "p.s", f"p.s + {LENGTH} AS e")
