@@ -20,6 +20,8 @@ are one document. Null text has one empty line. Every input row keeps one output
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +49,23 @@ def hashed(rows: DataFrame) -> DataFrame:
 
     halves: for M of n and n - 1 words, a hash of the first M div 2 words and one of the last M - M div 2.
     """
-    untidy = F.rlike("line", F.lit("[\\x09-\\x0D]|\\x20\\x20|^\\x20|\\x20$"))
+    held = [F.contains("line", F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")]
+    untidy = reduce(lambda a, b: a | b, held, F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" ")))
     tidy = F.when(untidy, F.btrim(F.regexp_replace("line", "[\\x20\\x09-\\x0D]+", " "), F.lit(" "))).otherwise(F.col("line"))
-    rows = rows.select("pos", tidy.alias("s"))
-    rows = rows.withColumn("n", F.expr("CASE WHEN s <> '' THEN octet_length(s) - octet_length(replace(s, ' ', '')) + 1 ELSE 0 END")).where(F.col("n") >= EXACT_WORDS)
-    parts = [f"xxhash64({m}, {k}, substring_index(s, ' ', CAST({words} AS int)))" for m in ("n", "n - 1") for k, words in ((0, f"({m}) div 2"), (1, f"({m}) div 2 - ({m})"))]
+    rows = _once(rows, tidy.alias("s"), F.lit(None).alias("_")).select("pos", "s")
+    rows = _once(rows, F.split("s", " ").alias("w"), F.lit(None).alias("_")).select("pos", "s", "w")
+    rows = rows.withColumn("n", F.when(F.col("s") == "", 0).otherwise(F.size("w"))).where(F.col("n") >= EXACT_WORDS)
+    half = lambda m: ((m, 0, "1", f"({m}) div 2"), (m, 1, f"n - (({m}) - ({m}) div 2) + 1", f"({m}) - ({m}) div 2"))
+    parts = [f"xxhash64({m}, {k}, slice(w, CAST({a} AS int), CAST({b} AS int)))" for x in ("n", "n - 1") for m, k, a, b in half(x)]
     halves = F.expr(f"CASE WHEN n >= {NEAR_WORDS - 1} THEN array({', '.join(parts)}) END")
-    return rows.select("pos", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), halves.alias("halves"), "s")
+    rows = _once(rows, F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), halves.alias("halves"))
+    return rows.select("pos", "n", "h1", "h2", "halves", "s")
+
+
+def _once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """rows with columns that are computed once a row, however often they are used: a generator of one row
+    keeps the optimiser from copying their expressions to each use."""
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
 
 
 def _held(rows: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
