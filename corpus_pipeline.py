@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeledger.llm import decontamination, language_id, mixing, simhash, token_output
+from homeledger.llm import decontamination, language_id, mixing, shingle_jaccard, token_output
 from homeledger.llm.common import table, written
 
 #: Texts whose language is less certain than this go, as do those without any letter.
@@ -39,8 +39,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near duplicates."""
-    found = simhash.near_duplicates(docs.select(F.expr(KEY).alias("doc_id"), "text"))
+    """Keeps the document of the smallest id of each group of near copies: 5-word shingles, Jaccard similarity 0.8 or more."""
+    found = shingle_jaccard.near_copies(docs.select(F.expr(KEY).alias("doc_id"), "text"))
     return _marked(docs, found.where("doc_id = component_id").select(F.col("doc_id").alias("key")), "left_semi")
 
 

@@ -1,0 +1,161 @@
+"""Near copies by Jaccard similarity of 5-word shingles, at least 0.8: exact prefix filtering, verification, components.
+
+In any fixed order of shingles, two sets of similarity t share one among the first n - ceil(t n) + 1 of each,
+n being the set's own size. So only these are dealt out by shingle; texts that meet nowhere are no near copies,
+and none is lost. The order puts shingles that a sample of texts repeats last, frequent ones after rare ones,
+which only saves work. Candidates are verified on their whole shingle sets.
+
+Candidates are made in two rounds: each text of a shingle's group with the group's first of fitting size, then,
+of the components found, only pairs across components. A group of near copies thus costs its size, not its square.
+
+Texts are lower-cased (ASCII) and split at white space as in simhash; one of fewer than five words is one
+shingle. Texts without words, nulls among them, are one group. Repeated rows keep one output row each.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import blocks, connected_components, prepare, text_bytes, written
+
+SHINGLE_WORDS, SEED = 5, 42
+#: Least similarity as a fraction of whole numbers, so that comparisons are exact.
+OVER, UNDER = 4, 5
+#: About so many texts are looked through for repeated shingles; SEEN of them make a shingle frequent, MOST are listed.
+SAMPLE, SEEN, MOST = 8_000, 3, 100_000
+#: Node of a text: its hash, so that exact copies are one; 0 for those without words.
+NODE = "xxhash64(text)"
+
+
+def shingles(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """Distinct XXH64 values of the word shingles of one lower-cased text, sorted, as signed longs."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    width = min(width, len(words))
+    hash_of, n = xxhash.xxh64_intdigest, len(words) - width + 1
+    cut = zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((hash_of(line[s:e], SEED) for s, e in cut), np.uint64, n).view(np.int64))
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    offs = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in blocks(batches, "text"):
+        data, offs = text_bytes(batch.column("text"))
+        data = data.tobytes()
+        made = [shingles(data[s:e]) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(made)], ["node", "xs"])
+
+
+def _prefixes(frequent: np.ndarray):
+    """frequent: listed shingles, the rarest first."""
+    at = np.argsort(frequent)
+    values = frequent[at]
+
+    def first(xs: np.ndarray) -> np.ndarray:
+        n = len(xs)
+        if not n:
+            return xs
+        rank = np.zeros(n, np.int64)
+        if len(values):
+            i = np.minimum(np.searchsorted(values, xs), len(values) - 1)
+            rank = np.where(values[i] == xs, at[i] + 1, 0)
+        return xs[np.lexsort((xs, rank))[: n - -(-OVER * n // UNDER) + 1]]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            data, offs = text_bytes(batch.column("text"))
+            data = data.tobytes()
+            made = [shingles(data[s:e]) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            n = np.array([len(x) for x in made], np.int32)
+            node = np.where(n > 0, batch.column("node").to_numpy(zero_copy_only=False), 0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(node), pa.array(n), _lists([first(x) for x in made])], ["doc_id", "node", "n", "xs"])
+
+    return prefixes
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (x, n, node) those whose x has others, each with its leader: the group's first of fitting size."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush(x: np.ndarray, n: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        new = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True])))
+        sizes = np.diff(new)
+        keep = np.repeat(sizes > 1, sizes)
+        leader = np.arange(len(x))
+        for lo, hi in zip(new[:-1][sizes > 1].tolist(), new[1:][sizes > 1].tolist(), strict=True):
+            while lo < hi:
+                end = lo + int(np.searchsorted(n[lo:hi], n[lo] * UNDER // OVER, "right"))
+                leader[lo:end] = lo
+                lo = end
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (x, n, node, node[leader])], ["x", "n", "node", "leader"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(batch.column(c).to_numpy() for c in ("x", "n", "node")))
+        if sum(len(c[0]) for c in held) >= 1 << 17:
+            cols = tuple(map(np.concatenate, zip(*held, strict=True)))
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            if cut:
+                yield flush(*(c[:cut] for c in cols))
+            held = [tuple(c[cut:] for c in cols)]
+    if held:
+        yield flush(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _frequent(docs: DataFrame, rows: int) -> np.ndarray:
+    """Shingles that several texts of a sample have, the rarest first."""
+    every = max(1, rows // SAMPLE)
+    part = docs.select("text", F.expr(NODE).alias("node")).where(f"pmod(node, {every}) = 0").mapInArrow(_sets, "node long, xs array<long>")
+    seen = part.dropDuplicates(["node"]).select(F.explode("xs").alias("x")).groupBy("x").count().where(F.col("count") >= SEEN)
+    got = seen.orderBy(F.desc("count"), "x").limit(MOST).select("x").toArrow().column("x").to_numpy()
+    return got[::-1].copy()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes whose shingle sets are similar."""
+    pairs = written(pairs.distinct(), "jaccard-pairs")
+    nodes = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
+    rows = docs.select("text", F.expr(NODE).alias("node")).join(nodes, "node", "left_semi")
+    sets = written(rows.mapInArrow(_sets, "node long, xs array<long>").dropDuplicates(["node"]), "jaccard-sets")
+    both = pairs.join(sets.selectExpr("node AS u", "xs AS a"), "u").join(sets.selectExpr("node AS v", "xs AS b"), "v")
+    same = F.size(F.array_intersect("a", "b"))
+    return both.where(same * (OVER + UNDER) >= (F.size("a") + F.size("b")) * OVER).select("u", "v")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) for each row of docs (doc_id, text): component_id is the least doc_id of its near copies."""
+    prepare(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    frequent = _frequent(docs, docs.count())
+    made = docs.withColumn("node", F.expr(NODE)).mapInArrow(_prefixes(frequent), "doc_id long, node long, n int, xs array<long>")
+    made = written(made, "jaccard-prefixes")
+    rows = made.where("n > 0").dropDuplicates(["node"]).select("n", "node", F.explode("xs").alias("x"))
+    shared = rows.repartition("x").sortWithinPartitions("x", "n", "node").mapInArrow(_shared, "x long, n int, node long, leader long")
+    shared = written(shared, "jaccard-shared")
+    links = written(_verified(docs, shared.where("node <> leader").selectExpr("least(node, leader) AS u", "greatest(node, leader) AS v")), "jaccard-links")
+    joined = written(connected_components(links, "jaccard-components"), "jaccard-named")
+    apart = shared.join(joined, "node", "left").select("x", "n", "node", F.coalesce("component", "node").alias("c"))
+    mixed = apart.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("x")
+    apart = written(apart.join(mixed, "x", "left_semi"), "jaccard-apart")
+    a, b = apart.selectExpr("x", "n AS na", "node AS u", "c AS ca"), apart.selectExpr("x", "n AS nb", "node AS v", "c AS cb")
+    fits = (F.col("u") < F.col("v")) & (F.col("ca") != F.col("cb")) & (F.col("na") * UNDER >= F.col("nb") * OVER) & (F.col("nb") * UNDER >= F.col("na") * OVER)
+    more = _verified(docs, a.join(b, "x").where(fits).select("u", "v"))
+    joined = connected_components(links.unionByName(more), "jaccard-components")
+    named = made.select("doc_id", "node").join(joined, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c"))
+    named = written(named, "jaccard-rows")
+    least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "c").select("doc_id", "component_id")
