@@ -2,8 +2,11 @@
 
 Tokens are summed up by cell (source, language, topic). Cell weights start at 1 and are raked in turn so
 that weighted tokens meet the target shares of each source, language and topic. A document is kept with
-its cell's calibrated probability min(1, c * weight), c chosen so that the expected tokens are `fraction`
-of all; the draw is a hash of the row, so it is the same on every run and cluster.
+its cell's probability, calibrated so that the expected tokens are `fraction` of all and meet the targets:
+from min(1, c * weight), cells below 1 make up in turn for those at 1. A value whose target is more than all
+its tokens cannot meet it at that fraction: it is kept whole and its shortage spread over the others by their
+targets; a lower fraction has no such shortage. The draw is a hash of the row, so it is the same on every run
+and cluster.
 
 Up to MAX_CELLS cells are raked in numpy on the driver and come back as a broadcast table; more are raked
 as a table in the shared folder, one step after another, and joined. Both give the same weights.
@@ -103,6 +106,65 @@ def scale(weight: np.ndarray, tokens: np.ndarray, fraction: float) -> float:
     return high
 
 
+def reachable(share: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Shares of at most `most` each; what these cannot take is spread over the others in proportion."""
+    full = np.zeros(len(share), bool)
+    while True:
+        free = share[~full].sum()
+        out = np.where(full, most, share * max(0.0, 1 - most[full].sum()) / (free or 1.0))
+        more = ~full & (out > most)
+        if not more.any():
+            return out
+        full |= more
+
+
+def calibrate(p: np.ndarray, dims: list[np.ndarray], tokens: np.ndarray, wanted: list[np.ndarray], goal: float, steps: int = STEPS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Probabilities of at most 1 whose tokens are goal in all, with the wanted shares; from p by turns."""
+    for _ in range(steps):
+        worst = 0.0
+        for own, share in zip(dims, wanted, strict=True):
+            at_most = p >= 1
+            full, free = np.bincount(own, np.where(at_most, tokens, 0.0), len(share)), np.bincount(own, np.where(at_most, 0.0, p * tokens), len(share))
+            want, got = share * goal, full + free
+            worst = max(worst, float(np.abs(got - want).max(initial=0.0)) / max(goal, 1e-300))
+            up = np.where((want > got) & (free > 0), (want - full) / np.where(free > 0, free, 1), 1.0)
+            down = np.where((want < got) & (got > 0), want / np.where(got > 0, got, 1), 1.0)
+            p = np.minimum(1.0, p * (up * down)[own])
+        if worst < tolerance:
+            break
+    return p
+
+
+def _reachable_table(wanted: DataFrame, goal: float) -> DataFrame:
+    """reachable() of (v, share, t): each value takes at most t of goal."""
+    rows, count = wanted.withColumn("most", F.col("t") / F.lit(goal or 1.0)), -1
+    out = F.col("share")
+    while True:
+        full = rows.withColumn("full", out > F.col("most"))
+        got = full.agg(F.count_if("full"), F.sum(F.when(F.col("full"), F.col("most")).otherwise(0.0)), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("share")))).first()
+        if got[0] == count or got[0] is None:
+            return rows.select("v", F.least(out, F.col("most")).alias("share"))
+        count, out = got[0], F.col("share") * F.lit(max(0.0, 1 - (got[1] or 0.0)) / (got[2] or 1.0))
+
+
+def _calibrate_table(cells: DataFrame, wanted: Mapping, goal: float, steps: int, tolerance: float) -> DataFrame:
+    """calibrate() of cells with probability."""
+    p, t = F.col("probability"), F.col("tokens")
+    for _ in range(steps):
+        worst = 0.0
+        for d in DIMENSIONS:
+            got = cells.groupBy(d).agg(F.sum(F.when(p >= 1, t).otherwise(0)).alias("full"), F.sum(F.when(p >= 1, 0.0).otherwise(p * t)).alias("free"))
+            got = got.join(wanted[d], F.col(d).eqNullSafe(F.col("v"))).select("v", "full", "free", (F.col("share") * goal).alias("want"), (F.col("full") + F.col("free")).alias("got"))
+            got = written(got, "margins")
+            worst = max(worst, (got.agg(F.max(F.abs(F.col("got") - F.col("want")))).first()[0] or 0.0) / max(goal, 1e-300))
+            ratio = F.expr("CASE WHEN want > got AND free > 0 THEN (want - full) / free WHEN want < got THEN want / got ELSE 1.0D END")
+            cells = cells.join(got, F.col(d).eqNullSafe(F.col("v"))).withColumn("probability", F.least(F.lit(1.0), p * ratio)).select(*DIMENSIONS, "tokens", "weight", "probability")
+        cells = written(cells, "cells")
+        if worst < tolerance:
+            break
+    return cells
+
+
 def _rake_table(cells: DataFrame, targets: Mapping, fraction: float, steps: int, tolerance: float) -> DataFrame:
     """The same for more cells than the driver takes: every step is a sum by value and a join."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -115,9 +177,9 @@ def _rake_table(cells: DataFrame, targets: Mapping, fraction: float, steps: int,
             given = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in target.items()], f"k {cells.schema[d].dataType.simpleString()}, s double")
             found = found.join(given, found[d].eqNullSafe(given.k), "left").drop("k")
             raw = F.when(F.col("t") > 0, F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
-        found = found.select(F.col(d).alias("v"), raw.alias("raw"))
+        found = found.select(F.col(d).alias("v"), "t", raw.alias("raw"))
         whole = found.agg(F.sum("raw")).first()[0] or 0.0
-        wanted[d] = written(found.select("v", (F.col("raw") / whole if whole else F.lit(0.0)).alias("share")), "shares")
+        wanted[d] = written(found.select("v", "t", (F.col("raw") / whole if whole else F.lit(0.0)).alias("share")), "shares")
     for _ in range(steps):
         worst = 0.0
         for d in DIMENSIONS:
@@ -129,15 +191,23 @@ def _rake_table(cells: DataFrame, targets: Mapping, fraction: float, steps: int,
         cells = written(cells, "cells")
         if worst < tolerance:
             break
-    low, high = 0.0, 1.0
     goal = min(fraction * total, float(cells.where("weight > 0").agg(F.sum("tokens")).first()[0] or 0) * (1 - 1e-12))
-    reach = lambda c: cells.agg(F.sum(F.least(F.lit(1.0), F.col("weight") * c) * F.col("tokens"))).first()[0] or 0.0
+    cells = cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * _scale_table(cells, "weight", goal)))
+    wanted = {d: written(_reachable_table(wanted[d], goal), "shares") for d in DIMENSIONS}
+    cells = _calibrate_table(cells, wanted, goal, steps, tolerance)
+    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("probability") * _scale_table(cells, "probability", goal)))
+
+
+def _scale_table(cells: DataFrame, column: str, goal: float) -> float:
+    """scale() of a column of cells."""
+    low, high = 0.0, 1.0
+    reach = lambda c: cells.agg(F.sum(F.least(F.lit(1.0), F.col(column) * c) * F.col("tokens"))).first()[0] or 0.0
     while reach(high) < goal and high < 1e18:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if reach(mid) < goal else (low, mid)
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * high))
+    return high
 
 
 def probabilities(rows: DataFrame, targets: Mapping = TARGETS, fraction: float = FRACTION, steps: int = STEPS, tolerance: float = TOLERANCE, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool]:
@@ -156,7 +226,10 @@ def probabilities(rows: DataFrame, targets: Mapping = TARGETS, fraction: float =
         dims.append(np.array([number[r[d]] for r in got], np.int64))
         wanted.append(np.array([share[k] for k in sums]))
     weight = rake(dims, tokens, wanted, steps, tolerance)
-    p = np.minimum(1.0, scale(weight, tokens, fraction) * weight)
+    p, goal = np.minimum(1.0, scale(weight, tokens, fraction) * weight), min(fraction * float(tokens.sum()), float(tokens[weight > 0].sum()))
+    can = [reachable(share, np.bincount(own, tokens, len(share)) / (goal or 1.0)) for own, share in zip(dims, wanted, strict=True)]
+    p = calibrate(p, dims, tokens, can, goal, steps, tolerance)
+    p = np.minimum(1.0, scale(p, tokens, fraction) * p)
     rows_out = [(*(r[d] for d in DIMENSIONS), int(r.tokens), float(w), float(x)) for r, w, x in zip(got, weight, p, strict=True)]
     return spark.createDataFrame(rows_out, "source string, lang string, topic string, tokens long, weight double, probability double"), True
 
