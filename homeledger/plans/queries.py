@@ -459,6 +459,12 @@ def clean_text(spark, sf):
     return load(spark, sf, "documents").where("NOT contains(text, '&')").select("doc_id", F.sha2(text.clean_text("text"), 256).alias("digest"))
 
 
+@query()
+def clean_text_whole(spark, sf):
+    """All documents, with entities to decode (which DuckDB cannot) and null ones too; clean_text has those without "&"."""
+    return load(spark, sf, "documents").select("doc_id", F.sha2(text.clean_text("text"), 256).alias("digest"))
+
+
 _NUMBERS = "CASE p_partkey % 6 WHEN 0 THEN 'ca. ' || (p_partkey * 37) || ' 500 €' WHEN 1 THEN p_size || ',5 m2' WHEN 2 THEN p_size || '.25/9' WHEN 3 THEN p_size || ' / 12' WHEN 4 THEN 'none' ELSE '1 200 € (2 909.09 € / m2)' END"
 
 
