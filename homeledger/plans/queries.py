@@ -192,6 +192,16 @@ def ranking_null_last_sorts(spark, sf):
     return out
 
 
+@query(f"{M} " + " UNION ALL ".join(f"SELECT '{k}' AS view, listing_id, CAST(row_number() OVER (ORDER BY {o}, listing_id) AS INT) AS position FROM market" for k, o in _NULL_ORDERS.items()))
+def ranking_null_last_sorts_whole(spark, sf):
+    """Every row of each re-sort, those with nulls too; ranking_null_last_sorts has the first 50."""
+    rows, out = bind(spark, sf, "market").withColumn("score", F.col("transport_score")), None
+    for k, name in (("transport", "score"), ("cheap", "price_asc"), ("dear", "price_desc"), ("area", "area")):
+        part = ranking.positions(rows, [*ranking.VIEW_ORDERS[name](), F.col("listing_id").asc()]).select(F.lit(k).alias("view"), "listing_id", "position")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _FLAGS = {
     "hide_rejected": "NOT coalesce(is_rejected, false)", "rejected_only": "coalesce(is_rejected, false)", "favorites_only": "coalesce(is_favorite, false)", "hide_viewed": "NOT coalesce(is_viewed, false)",
     "only_without_room_conflict": "NOT coalesce(room_conflict, false)", "only_confirmed_layout": "coalesce(layout_label = 'Confirmed', false)", "hide_high_mortgage_risk": "coalesce(risk, '') NOT IN ('High', 'Critical')",
@@ -608,6 +618,12 @@ def poi_order(spark, sf):
     return ranking.top(bind(spark, sf, "pois"), 40, [F.col("poi_name").asc_nulls_first(), F.col("poi_id").asc()]).select("poi_id", "poi_name", "category", "position")
 
 
+@query(f"{P} SELECT poi_id, poi_name, category, CAST(row_number() OVER (ORDER BY poi_name NULLS FIRST, poi_id) AS INT) AS position FROM pois")
+def poi_order_whole(spark, sf):
+    """All points of interest in order; poi_order has the first 40."""
+    return ranking.positions(bind(spark, sf, "pois"), [F.col("poi_name").asc_nulls_first(), F.col("poi_id").asc()]).select("poi_id", "poi_name", "category", "position")
+
+
 @query(f"{C}, k AS (SELECT listing_id, arg_min(price_eur, checked_at) AS o, arg_max(price_eur, checked_at) AS l, count(*) AS n FROM snapshots WHERE price_eur IS NOT NULL GROUP BY listing_id) SELECT listing_id, CASE WHEN l < o THEN '-' ELSE '+' END || abs(CAST(round((l - o) / CAST(o AS DOUBLE) * 100) AS BIGINT)) || '%' AS text, CASE WHEN l < o THEN 'good' ELSE 'risk' END AS kind FROM k WHERE n >= 2 AND o > 0 AND l <> o")
 def price_trend_text(spark, sf):
     return views.history_lines(changes.price_trend(bind(spark, sf, "snapshots")))
