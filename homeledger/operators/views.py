@@ -108,6 +108,10 @@ def ranking_rows(ranked: DataFrame) -> DataFrame:
     )
 
 
+def _number(form: str, c: str) -> Column:
+    return F.when(F.col(c).isNull(), F.lit("unknown")).otherwise(F.format_string(form, F.col(c)))
+
+
 #: Attribute rows of a comparison, in order.
 COMPARED = (
     ("Price", lambda: text.money("price_eur")),
@@ -117,8 +121,12 @@ COMPARED = (
     ("SS-declared rooms", lambda: text.or_unknown("declared_rooms")),
     ("Layout confidence", lambda: text.or_unknown("layout_label")),
     ("Mortgage risk", lambda: text.or_unknown("risk")),
-    ("Transport score", lambda: F.coalesce(F.format_string("%.1f", F.col("transport_score")), F.lit("unknown"))),
-    ("Building / series", lambda: text.or_unknown("series")),
+    ("RTU distance", lambda: _number("%.0f m", "rtu_distance")),
+    ("Transport score", lambda: _number("%.1f", "transport_score")),
+    ("Central station distance", lambda: _number("%.0f m", "station_distance")),
+    ("Shops within 1200 m", lambda: text.or_unknown("shops_1200")),
+    ("Building / series", lambda: F.coalesce(F.nullif("series", F.lit("")), F.nullif("building_type", F.lit("")), F.lit("unknown"))),
+    ("Score", lambda: _number("%.1f", "score")),
     ("Flags", lambda: F.when(F.size(comparison_flags()) > 0, F.array_join(comparison_flags(), ", ")).otherwise("none")),
 )
 

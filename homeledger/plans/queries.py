@@ -526,8 +526,36 @@ def key_flags(spark, sf):
     (9, "Flags", "coalesce(nullif(concat_ws(', ', CASE WHEN is_favorite THEN 'Favorite' END, CASE WHEN private_rooms <> declared_rooms THEN 'Room conflict' END, CASE WHEN kitchen_living THEN 'Kitchen-living' END, CASE WHEN risk IN ('High', 'Critical') THEN 'High mortgage risk' END), ''), 'none')"),
 )) + ") SELECT row, label, max(value) FILTER (WHERE listing_id = 26) AS l1, max(value) FILTER (WHERE listing_id = 3) AS l2, max(value) FILTER (WHERE listing_id = 44) AS l3, max(value) FILTER (WHERE listing_id = 8) AS l4 FROM r GROUP BY row, label")
 def comparison_transpose(spark, sf):
-    rows = market.with_prices(bind(spark, sf, "market"))
-    return views.comparison(rows, [26, 3, 44, 8]).where("row NOT IN (1, 7)")
+    """The rows that this SQL has, under its numbers; comparison_transpose_whole has all."""
+    found = views.comparison(_compared(spark, sf).withColumn("building_type", F.lit(None).cast("string")), [26, 3, 44, 8])
+    number = F.expr("CASE label WHEN 'Building / series' THEN 8 WHEN 'Flags' THEN 9 WHEN 'EUR/m2' THEN NULL ELSE CASE WHEN row < 7 THEN row END END")
+    return found.withColumn("row", number).where("row IS NOT NULL")
+
+
+#: What the tables lack for a comparison: distances, shops near by, building type and overall score.
+_APART = {
+    "rtu_distance": "CASE WHEN listing_id % 13 <> 0 THEN CAST(listing_id * 371 % 40000 AS DOUBLE) / 10 END", "station_distance": "CASE WHEN listing_id % 11 <> 0 THEN CAST(listing_id * 173 % 30000 AS DOUBLE) / 10 END",
+    "shops_1200": "CASE WHEN listing_id % 9 <> 8 THEN CAST(listing_id % 12 AS INT) END", "building_type": "CASE WHEN listing_id % 2 = 0 THEN 'Panel' END", "score": "CASE WHEN listing_id % 5 <> 3 THEN CAST(listing_id * 29 % 1000 AS DOUBLE) / 10 END",
+}
+
+
+def _compared(spark, sf):
+    return market.with_prices(bind(spark, sf, "market")).withColumns({k: F.expr(v) for k, v in _APART.items()})
+
+
+_UNKNOWN = lambda v: f"coalesce({v}, 'unknown')"
+
+
+@query(f"{M}, c AS (SELECT *, price_eur / area_m2 AS ppm2, {', '.join(f'{v} AS {k}' for k, v in _APART.items())} FROM market WHERE listing_id IN (3, 8, 12, 26, 44)), r AS (" + " UNION ALL ".join(f"SELECT listing_id, {i} AS row, '{n}' AS label, {v} AS value FROM c" for i, (n, v) in enumerate((
+    ("Price", "replace(format('{:,}', price_eur), ',', ' ') || ' EUR'"), ("EUR/m2", "replace(format('{:,.2f}', ppm2), ',', ' ') || ' EUR/m2'"), ("Area", "CAST(CAST(area_m2 AS BIGINT) AS VARCHAR) || ' m2'"),
+    ("Effective private rooms", _UNKNOWN("CAST(private_rooms AS VARCHAR)")), ("SS-declared rooms", "CAST(declared_rooms AS VARCHAR)"), ("Layout confidence", _UNKNOWN("layout_label")), ("Mortgage risk", _UNKNOWN("risk")),
+    ("RTU distance", _UNKNOWN("printf('%.0f m', rtu_distance)")), ("Transport score", _UNKNOWN("printf('%.1f', transport_score)")), ("Central station distance", _UNKNOWN("printf('%.0f m', station_distance)")),
+    ("Shops within 1200 m", _UNKNOWN("CAST(shops_1200 AS VARCHAR)")), ("Building / series", _UNKNOWN("coalesce(series, building_type)")), ("Score", _UNKNOWN("printf('%.1f', score)")),
+    ("Flags", "coalesce(nullif(concat_ws(', ', CASE WHEN is_favorite THEN 'Favorite' END, CASE WHEN private_rooms <> declared_rooms THEN 'Room conflict' END, CASE WHEN kitchen_living THEN 'Kitchen-living' END, CASE WHEN risk IN ('High', 'Critical') THEN 'High mortgage risk' END), ''), 'none')"),
+))) + ") SELECT row, label, " + ", ".join(f"max(value) FILTER (WHERE listing_id = {k}) AS l{i}" for i, k in enumerate((26, 3, 44, 8, 12), 1)) + " FROM r GROUP BY row, label")
+def comparison_transpose_whole(spark, sf):
+    """All 14 attribute rows."""
+    return views.comparison(_compared(spark, sf), [26, 3, 44, 8, 12])
 
 
 @query(f"{SCORED}, long AS ({_LONG}), v AS (SELECT listing_id, block_key AS block, CAST(round(score) AS INT) AS value FROM long WHERE score IS NOT NULL) SELECT listing_id, CAST(row_number() OVER (PARTITION BY listing_id ORDER BY abs(value - 50) DESC, block) AS INT) AS place, block, value FROM v QUALIFY place <= 5")
