@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and all runs in one process (tests)."""
     at = spark.sparkContext.getCheckpointDir() if spark.conf.get("spark.checkpoint.dir", None) is None else spark.conf.get("spark.checkpoint.dir")
     if at is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all its machines share")
         at = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -134,7 +138,10 @@ _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15
 
 
 class Slices:
-    """64-bit hashes of many slices of one byte array, equal for equal bytes, in constant time each."""
+    """64-bit hashes of many slices of one byte array, equal for equal bytes, in constant time each.
+
+    They are linear in the bytes: for features that may collide, never for the identity of words (word_hashes).
+    """
 
     def __init__(self, data: np.ndarray):
         up, self.down = _powers(len(data) + 1)
@@ -148,6 +155,31 @@ class Slices:
         return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Low bytes of a little-endian number, by how many count; slices of more bytes than LONG_SLICE are hashed one by one.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+LONG_SLICE = 512
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of slices of a byte array, equal for equal bytes wherever they stand.
+
+    Eight bytes at a time go through a finaliser that is not linear, so that no algebra of the text (as with
+    polynomial hashes and Thue-Morse words) makes two slices alike; slices of one length of up to eight bytes never are.
+    """
+    size = ends - starts
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    h = mixed((size + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    long = np.flatnonzero(size > LONG_SLICE)
+    at, k = np.flatnonzero((size > 0) & (size <= LONG_SLICE)), 0
+    while len(at):
+        left = size[at] - k
+        h[at] = mixed(h[at] ^ (eights[starts[at] + k] & _MASKS[np.minimum(left, 8)]))
+        at, k = at[left > 8], k + 8
+    for i in long.tolist():
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), 42)
+    return h
+
+
 def runs(mask: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of mask within each row; rows are given by offsets."""
     n = len(mask)

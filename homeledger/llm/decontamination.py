@@ -10,11 +10,14 @@ A query phrase is looked up in every segment: the term with the shortest posting
 starts (position less offset), which are intersected with the other terms' offset-adjusted postings, next
 rarest first. `proximity` asks instead that each further term occurs within `slop` words of the rarest.
 
-Query phrases are broadcast in chunks of at most CHUNK_TERMS terms (about 100 MB); more chunks are run
-one after another and their hits merged by document, so the benchmark's size is not bounded.
-
-Null or wordless texts: no words, no hits. Items with a null item_id are ignored; repeated items count
-once. Every input row keeps its own output row, also with a null or repeated doc_id.
+Query phrases are broadcast in chunks of about CHUNK_TERMS terms (flat arrays, about 70 MB); an item of more than
+PIECE_WINDOWS windows is cut, so that one long item is spread over chunks too. More chunks are run one after
+another, each over all postings, and their hits merged by document, so the benchmark's size is not bounded.
+
+Terms are known by word_hashes, 64 bits that are not linear in the text. Null or wordless texts: no words, no hits;
+very long texts are one segment of their own. Items with a null item_id are ignored; repeated items count once. No
+items: no hits; no documents: no rows. Every input row keeps its own output row, also with a null or repeated doc_id.
+Only doc_id, text and item_id are read; other columns, whatever their names, do not travel.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Slices, blocks, prepare, runs, spans_of, table, text_bytes, written
+from .common import BLOCK_BYTES, blocks, prepare, runs, spans_of, table, text_bytes, word_hashes, written
 
 WINDOW_WORDS = 13
 #: A document is contaminated if hit words are at least one in this many of its words.
@@ -48,7 +51,7 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = _LOWER[data]
     starts, ends = runs(_WORD[data], offs)
     rows = np.searchsorted(offs, starts, "right") - 1
-    return Slices(data).hashes(starts, ends), rows
+    return word_hashes(data, starts, ends), rows
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,12 +110,11 @@ class Segment:
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         return np.where(self.terms[at] == terms, at, -1)
 
-    def has(self, term: np.ndarray, position: np.ndarray, reach: int = 0) -> np.ndarray:
-        """Whether a term occurs at a position, or up to reach words from it."""
-        at = np.searchsorted(self.keys, term * self.span + np.maximum(position - reach, 0))
+    def has(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether a term occurs at a position from low to high."""
+        at = np.searchsorted(self.keys, term * self.span + np.maximum(low, 0))
         inside = at < len(self.keys)
-        low = term * self.span + np.minimum(position + reach, self.span - 1)
-        return (position + reach >= 0) & inside & (self.keys[np.where(inside, at, 0)] <= low)
+        return (high >= 0) & inside & (self.keys[np.where(inside, at, 0)] <= term * self.span + np.minimum(high, self.span - 1))
 
 
 def matches(seg: Segment, terms: np.ndarray, lens: np.ndarray, slop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -142,18 +144,14 @@ def matches(seg: Segment, terms: np.ndarray, lens: np.ndarray, slop: int | None
         at = order[phrase, k]
         ok = ~more
         ask = np.flatnonzero(more)
-        where = start[ask] + at[ask] if slop is None else start[ask]
-        ok[ask] = seg.has(local[phrase[ask], at[ask]], where, slop or 0)
+        if slop is None:
+            low = high = start[ask] + at[ask]
+        else:  # near and in the same document
+            doc = np.searchsorted(seg.doc_start, start[ask], "right") - 1
+            low = np.maximum(seg.doc_start[doc], start[ask] - slop)
+            high = np.minimum(seg.doc_start[doc] + seg.words[doc] - 1, start[ask] + slop)
+        ok[ask] = seg.has(local[phrase[ask], at[ask]], low, high)
         phrase, start = phrase[ok], start[ok]
-    if slop is not None:  # the gap of one position does not keep a near term in the same document
-        inside = np.ones(len(start), bool)
-        doc = np.searchsorted(seg.doc_start, start, "right") - 1
-        for i, (p, s, d) in enumerate(zip(phrase.tolist(), start.tolist(), doc.tolist(), strict=True)):
-            lo, hi = max(seg.doc_start[d], s - slop), min(seg.doc_start[d] + seg.words[d] - 1, s + slop)
-            for t in local[p][used[p]].tolist():
-                a = np.searchsorted(seg.keys, t * seg.span + lo)
-                inside[i] &= a < len(seg.keys) and seg.keys[a] <= t * seg.span + hi
-        phrase, start = phrase[inside], start[inside]
     return alive[phrase], start
 
 
@@ -195,40 +193,58 @@ def _search(phrases, slop: int | None):
     return search
 
 
-def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches, "text"):
-        hashes, rows = words_of(batch.column("text"))
-        cut = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(hashes.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("item"), lists], ["item", "words"])
+#: Windows of an item that travel together, so that one long item is spread over chunks like any other.
+PIECE_WINDOWS = 4096
+
+
+def _item_words(window: int, piece: int):
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            hashes, rows = words_of(batch.column("text"))
+            cut = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+            many = np.maximum(np.diff(cut) - window + 1, np.minimum(np.diff(cut), 1))  # windows of each item
+            pieces = -(-many // piece)
+            row = np.repeat(np.arange(batch.num_rows), pieces)
+            start = cut[row] + piece * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            size = np.minimum(cut[row + 1], start + piece + window - 1) - start
+            offs = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(hashes.view(np.int64)[spans_of(size, start)]))
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(row)), lists], ["item", "words"])
+
+    return words
 
 
-def _phrases(rows: list, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def _phrases(rows: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """Distinct windows: hashes by row, lengths, the item of each, and the items' names."""
-    made: dict[tuple, None] = {}
-    names = sorted({r.item for r in rows})
+    rows = rows.combine_chunks()
+    items = rows.column("item").to_pylist()
+    names = sorted(set(items))
     number = {x: i for i, x in enumerate(names)}
-    for r in rows:
-        for i in range(max(1, len(r.words) - window + 1)) if r.words else ():
-            made[number[r.item], *r.words[i : i + window]] = None
-    terms = np.zeros((len(made), window), np.uint64)
-    lens, owner = np.zeros(len(made), np.int64), np.zeros(len(made), np.int64)
-    for i, (own, *w) in enumerate(made):
-        terms[i, : len(w)] = np.array(w, np.int64).view(np.uint64)
-        lens[i], owner[i] = len(w), own
-    return terms, lens, owner, names
-
-
-def search(postings: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, slop: int | None = None, chunk_terms: int = CHUNK_TERMS) -> DataFrame:
+    words = rows.column("words").combine_chunks()
+    flat = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64) if len(words) else np.zeros(0, np.uint64)
+    size = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+    many = np.maximum(size - window + 1, np.minimum(size, 1))
+    start = spans_of(many, np.cumsum(size) - size)
+    lens = np.minimum(np.repeat(size, many), window)
+    owner = np.repeat(np.array([number[x] for x in items], np.int64), many)
+    at = start[:, None] + np.arange(window)
+    used = np.arange(window) < lens[:, None]
+    terms = np.where(used, flat[np.minimum(at, max(len(flat) - 1, 0))], np.uint64(0)) if len(flat) else np.zeros((0, window), np.uint64)
+    made = np.ascontiguousarray(np.concatenate([terms, owner[:, None].astype(np.uint64), lens[:, None].astype(np.uint64)], axis=1))
+    first = np.unique(made.view([("", np.uint64)] * (window + 2)).ravel(), return_index=True)[1]
+    return terms[first], lens[first], owner[first], names
+
+
+def search(postings: DataFrame, items: DataFrame, window: int = WINDOW_WORDS, slop: int | None = None, chunk_terms: int = CHUNK_TERMS, piece: int = PIECE_WINDOWS) -> DataFrame:
     """For each indexed row its words, the word spans hit by a window of an item, and these items (HITS)."""
     spark = postings.sparkSession
     prepare(spark)
     items = items.where("item_id IS NOT NULL").selectExpr("CAST(item_id AS string) AS item", "text").distinct()
-    items = written(items.mapInArrow(_item_words, "item string, words array<bigint>"), "phrases")
+    items = written(items.mapInArrow(_item_words(window, piece), "item string, words array<bigint>"), "phrases")
     total = items.agg(F.sum(F.size("words") * window)).first()[0] or 0
     chunks, found = max(1, -(-total // chunk_terms)), None
     for k in range(chunks):
-        rows = items.where(F.expr(f"pmod(xxhash64(item), {chunks}) = {k}")).collect()
+        rows = items.where(F.expr(f"pmod(xxhash64(item, words), {chunks}) = {k}")).toArrow()
         part = postings.mapInArrow(_search(spark.sparkContext.broadcast(_phrases(rows, window)), slop), HITS)
         found = part if found is None else found.unionByName(part)
     if chunks == 1:

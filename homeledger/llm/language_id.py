@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Slices, blocks, prepare, runs, spans_of, table, text_bytes
+from .common import Slices, blocks, prepare, runs, spans_of, table, text_bytes, word_hashes
 
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 6_000_000
 #: At most so many labels are learned: the most frequent ones.
@@ -204,7 +204,7 @@ def marginals(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, n
     if not len(starts):
         return np.zeros((0, len(model.labels))), starts, ends, row
     upper = ((data[starts] >= 65) & (data[starts] <= 90)).astype(np.uint64)
-    first, inverse = _grouped(Slices(data).hashes(starts, ends) ^ upper)
+    first, inverse = _grouped(word_hashes(data, starts, ends) ^ upper)
     e = model.emissions(*features(data, starts[first], ends[first]))[inverse]
     cut = np.searchsorted(row, np.arange(len(column) + 1))
     return forward_backward(e, model.trans, np.diff(cut))[0], starts, ends, row

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mixed, prepare, runs, table, text_bytes, written
-from .decontamination import _LOWER, _WORD, Slices
+from .common import blocks, mixed, prepare, runs, table, text_bytes, word_hashes, written
+from .decontamination import _LOWER, _WORD
 
 DIMENSIONS = ("source", "lang", "topic")
 TARGETS: dict[str, float | Mapping] = {"source": 0.5, "lang": 0.5, "topic": 0.5}
@@ -45,7 +45,7 @@ def topics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     rows = np.searchsorted(offs, starts, "right") - 1
     n = len(column)
     long = np.flatnonzero(ends - starts >= LONG)
-    bucket = (mixed(Slices(data).hashes(starts[long], ends[long])) % np.uint64(TOPICS)).astype(np.int64)
+    bucket = (mixed(word_hashes(data, starts[long], ends[long])) % np.uint64(TOPICS)).astype(np.int64)
     counts = np.bincount(rows[long] * TOPICS + bucket, minlength=n * TOPICS).reshape(n, TOPICS)
     return np.where(counts.sum(axis=1) > 0, counts.argmax(axis=1), -1), np.bincount(rows, minlength=n)
 

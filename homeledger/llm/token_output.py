@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .common import Slices, blocks, prepare, runs, spans_of, table, text_bytes, work_dir, written
+from .common import blocks, prepare, runs, spans_of, table, text_bytes, word_hashes, work_dir, written
 
 MAGIC = b"RANSTOK1"
 END_ID = 2
@@ -213,7 +213,7 @@ class Words:
         if odd:
             keep = ~np.isin(row, odd)
             starts, ends, row = starts[keep], ends[keep], row[keep]
-        keys, first, inverse = np.unique(Slices(data).hashes(starts, ends), return_index=True, return_inverse=True)
+        keys, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(keys):
             place = np.searchsorted(self.keys, keys)
             known = np.zeros(len(keys), bool)
