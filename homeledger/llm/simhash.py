@@ -5,11 +5,22 @@ pigeonhole keys (with the 64 bits in b blocks, two fingerprints at distance r ag
 more), so no pair within the radius is lost; b follows from the number of distinct fingerprints. Inside
 a key's group, rows are sorted by population count, cut into tiles, and tile pairs whose population
 counts differ beyond the radius are skipped; the rest are compared by exclusive-or and bit counts. A
-group above GROUP_ROWS is dealt out further, by pairs of sub-tiles. Each task emits a spanning forest of
-the links that it found, never all pairs.
+group above GROUP_ROWS is dealt out further, by pairs of sub-tiles. Each task unites the links as it finds
+them and emits a spanning forest, never all pairs. A radius of 4 bits is a contract of op7, not a similarity: texts
+that share 0.8 of their shingles differ in about 10 bits. `near_copies` is the operator for such a similarity.
 
-Nulls and empty texts have no words: fingerprint zero, linked like any other. Repeated rows keep one
-output row each. A null doc_id gets a component of its group if the group has any id, else null.
+near_copies links texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. In any fixed order
+of shingles two such sets share one among the first n - ceil(0.8 n) + 1 of each, n being the set's own size, so
+fingerprints are dealt out by these shingles and none is lost. Inside a shingle's group tiles of fingerprints
+are compared as above, at a radius of WIDE bits, and pairs of texts of fitting sizes are candidates. They are verified
+on their whole sets. At a similarity of exactly 0.8 a fingerprint differs in 9.7 bits on average (standard
+deviation 2.9), more than WIDE with a chance of some 3 in a million; sets under SMALL shingles are not held to the
+radius. Candidates come in two rounds: each text with the first candidate before it in a group, then, of the
+components found, only pairs across components; so a group of near copies costs its size, not its square.
+
+Nulls and empty texts have no words: fingerprint zero, linked like any other (near_copies: one group). Repeated rows
+keep one output row each. A null doc_id gets a component of its group if the group has any id, else null. Very long
+texts are hashed whole, 65,536 shingles at a time. No rows: no rows. Other columns than doc_id and text do not travel.
 """
 
 from __future__ import annotations
@@ -79,19 +90,39 @@ def masks(n: int, radius: int) -> list[int]:
     return best[1]
 
 
-def _close_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within the radius in rows sorted by (group, population count)."""
+def _unite(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """label (each node's least known neighbour, by number) with the links x-y added."""
+    differ = label[x] != label[y]
+    if not differ.any():
+        return label
+    return forest(len(label), np.concatenate([np.arange(len(label)), x[differ]]), np.concatenate([label, y[differ]]))
+
+
+#: Links of a group that are gathered before they are united.
+HELD_PAIRS = 1 << 20
+
+
+def _labels(fp: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
+    """For rows sorted by (group, population count) the first row of its group that each reaches within the radius.
+
+    Links are united as they are found: at most HELD_PAIRS of them and those of one tile pair are held.
+    """
     bits = np.bitwise_count(fp).astype(np.int16)
     new = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
-    sizes, found = np.diff(new), []
+    sizes, label = np.diff(new), np.arange(len(fp))
     few = np.repeat(sizes <= 48, sizes)
     for step in range(1, int(min(48, sizes.max()))):
         at = np.flatnonzero(few[:-step] & (group[step:] == group[:-step]))
         if not len(at):
             break
         at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
-        found.append((at, at + step))
+        label = _unite(label, at, at + step)
     for lo, hi in zip(new[:-1][sizes > 48], new[1:][sizes > 48], strict=True):
+        own, held = np.arange(hi - lo), []
+
+        def merge(own: np.ndarray, held: list) -> np.ndarray:
+            return _unite(own, *map(np.concatenate, zip(*held, strict=True))) if held else own
+
         for a in range(lo, hi, TILE):
             a_end = min(a + TILE, hi)
             for b in range(a, hi, TILE):
@@ -100,10 +131,13 @@ def _close_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.nda
                 b_end = min(b + TILE, hi)
                 near = np.bitwise_count(fp[a:a_end, None] ^ fp[None, b:b_end]) <= radius
                 x, y = np.nonzero(np.triu(near, 1) if a == b else near)
-                found.append((x + a, y + b))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+                x, y = x + (a - lo), y + (b - lo)
+                keep = own[x] != own[y]
+                held.append((x[keep], y[keep]))
+                if sum(len(v) for v, _ in held) >= HELD_PAIRS:
+                    own, held = merge(own, held), []
+        label[lo:hi] = merge(own, held) + lo
+    return label
 
 
 def _linker(radius: int):
@@ -112,11 +146,9 @@ def _linker(radius: int):
 
         def flush(cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
             key, fp, rep = cols
-            a, b = _close_pairs(fp.view(np.uint64), key, radius)
-            nodes, inverse = np.unique(rep, return_inverse=True)
-            label = forest(len(nodes), inverse[a], inverse[b])
-            at = np.flatnonzero(label != np.arange(len(nodes)))
-            return pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[label[at]])], ["u", "v"])
+            label = _labels(fp.view(np.uint64), key, radius)
+            at = np.flatnonzero(label != np.arange(len(rep)))
+            return pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[label[at]])], ["u", "v"])
 
         for batch in batches:
             held.append(tuple(batch.column(c).to_numpy() for c in ("grp", "fp", "rep")))
@@ -157,6 +189,219 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return made.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+#: Of near_copies: words of a shingle; least similarity as a fraction of whole numbers, so that comparisons are exact.
+COPY_WORDS, OVER, UNDER = 5, 4, 5
+#: Radius for candidates; sets of fewer shingles than SMALL are candidates at any distance.
+WIDE, SMALL = 24, 16
+#: About so many texts are looked through for repeated shingles; SEEN of them make a shingle frequent, MOST are listed.
+#: Frequent shingles come last in the order: this saves work and changes no result.
+SAMPLE, SEEN, MOST = 8_000, 3, 100_000
+
+
+def shingles(text: bytes, width: int = COPY_WORDS) -> np.ndarray:
+    """Distinct XXH64 values of the word shingles of one lower-cased text, sorted, as signed longs."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    width = min(width, len(words))
+    hash_of, n = xxhash.xxh64_intdigest, len(words) - width + 1
+    cut = zip(starts[:n].tolist(), ends[width - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((hash_of(line[s:e], SEED) for s, e in cut), np.uint64, n).view(np.int64))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The fingerprint, as a signed number, of a set of hashes."""
+    ones = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 16):
+        part = hashes[lo : lo + (1 << 16)].astype("<i8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    offs = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
+
+
+def _made(batch: pa.RecordBatch) -> list[np.ndarray]:
+    data, offs = text_bytes(batch.column("text"))
+    data = data.tobytes()
+    return [shingles(data[s:e]) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in blocks(batches, "text"):
+        yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(_made(batch))], ["node", "xs"])
+
+
+def _prefixes(frequent: np.ndarray):
+    """frequent: listed shingles, the rarest first."""
+    at = np.argsort(frequent)
+    values = frequent[at]
+
+    def first(xs: np.ndarray) -> np.ndarray:
+        n = len(xs)
+        if not n:
+            return xs
+        rank = np.zeros(n, np.int64)
+        if len(values):
+            i = np.minimum(np.searchsorted(values, xs), len(values) - 1)
+            rank = np.where(values[i] == xs, at[i] + 1, 0)
+        return xs[np.lexsort((xs, rank))[: n - -(-OVER * n // UNDER) + 1]]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text"):
+            made = _made(batch)
+            n = np.array([len(x) for x in made], np.int32)
+            node = np.where(n > 0, batch.column("node").to_numpy(zero_copy_only=False), 0)
+            fp = np.array([_majority(x) if len(x) else 0 for x in made], np.int64)
+            cols = [batch.column("doc_id").cast(pa.int64()), batch.column("node"), pa.array(node), pa.array(n), pa.array(fp), _lists([first(x) for x in made])]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "node", "n", "fp", "xs"])
+
+    return prefixes
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], at_once: int = 1 << 17) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of rows sorted by names[0], in pieces that hold whole groups of it."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(batch.column(c).to_numpy() for c in names))
+        if sum(len(c[0]) for c in held) >= at_once:
+            cols = tuple(map(np.concatenate, zip(*held, strict=True)))
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            if cut:
+                yield tuple(c[:cut] for c in cols)
+            held = [tuple(c[cut:] for c in cols)]
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _candidates(fp_a, n_a, fp_b, n_b, radius: int, small: int) -> np.ndarray:
+    """Whether pairs are near enough and of sizes that allow the similarity."""
+    near = (np.bitwise_count(fp_a ^ fp_b) <= radius) | (n_a < small) | (n_b < small)
+    return near & (n_a * UNDER >= n_b * OVER) & (n_b * UNDER >= n_a * OVER)
+
+
+def _first_candidates(radius: int, small: int):
+    """Of rows (grp, x, fp, n, node) sorted by grp those whose grp has others, each with the first candidate before it."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grp, x, fp, n, node in _whole_groups(batches, ("grp", "x", "fp", "n", "node")):
+            bits, n = fp.view(np.uint64), n.astype(np.int64)
+            new = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1], [True])))
+            sizes, leader = np.diff(new), np.arange(len(x))
+            many = np.repeat(sizes, sizes)
+            for step in range(min(48, int(sizes.max())) - 1, 0, -1):  # small groups, all at once; the farthest is the first
+                at = np.flatnonzero((many[:-step] <= 48) & (grp[step:] == grp[:-step]))
+                at = at[_candidates(bits[at], n[at], bits[at + step], n[at + step], radius, small)]
+                known = leader[at + step] != at + step
+                leader[at[~known] + step] = at[~known]
+            for lo, hi in zip(new[:-1][sizes > 48].tolist(), new[1:][sizes > 48].tolist(), strict=True):
+                for b in range(lo, hi, TILE):
+                    b_end, open_ = min(b + TILE, hi), np.arange(b, min(b + TILE, hi))
+                    for a in range(lo, b_end, TILE):
+                        a_end = min(a + TILE, hi)
+                        ok = _candidates(bits[open_, None], n[open_, None], bits[None, a:a_end], n[None, a:a_end], radius, small) & (np.arange(a, a_end)[None, :] < open_[:, None])
+                        found = ok.any(axis=1)
+                        leader[open_[found]] = a + ok[found].argmax(axis=1)
+                        open_ = open_[~found]
+                        if not len(open_):
+                            break
+            keep = many > 1
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (x, fp, n.astype(np.int32), node, node[leader])], ["x", "fp", "n", "node", "leader"])
+
+    return first
+
+
+def _across(radius: int, small: int):
+    """Candidate pairs (u, v) of different components c, of rows (grp, c, fp, n, node) sorted by grp."""
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grp, c, fp, n, node in _whole_groups(batches, ("grp", "c", "fp", "n", "node")):
+            bits, n = fp.view(np.uint64), n.astype(np.int64)
+            new = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1], [True])))
+            for lo, hi in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
+                for a in range(lo, hi, TILE):
+                    a_end = min(a + TILE, hi)
+                    for b in range(a, hi, TILE):
+                        b_end = min(b + TILE, hi)
+                        ok = _candidates(bits[a:a_end, None], n[a:a_end, None], bits[None, b:b_end], n[None, b:b_end], radius, small) & (c[a:a_end, None] != c[None, b:b_end])
+                        i, j = np.nonzero(np.triu(ok, 1) if a == b else ok)
+                        if len(i):
+                            u, v = node[a + i], node[b + j]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return across
+
+
+def _frequent(docs: DataFrame, rows: int) -> np.ndarray:
+    """Shingles that several texts of a sample have, the rarest first."""
+    every = max(1, rows // SAMPLE)
+    part = docs.select("text", F.xxhash64("text").alias("node")).where(f"pmod(node, {every}) = 0").mapInArrow(_sets, "node long, xs array<long>")
+    seen = part.dropDuplicates(["node"]).select(F.explode("xs").alias("x")).groupBy("x").count().where(F.col("count") >= SEEN)
+    got = seen.orderBy(F.desc("count"), "x").limit(MOST).select("x").toArrow().column("x").to_numpy()
+    return got[::-1].copy()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes whose shingle sets are similar."""
+    pairs = written(pairs.distinct(), "copies-pairs")
+    nodes = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
+    rows = docs.select("text", F.xxhash64("text").alias("node")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    sets = written(rows.mapInArrow(_sets, "node long, xs array<long>"), "copies-sets")
+    both = pairs.join(sets.selectExpr("node AS u", "xs AS a"), "u").join(sets.selectExpr("node AS v", "xs AS b"), "v")
+    same = F.size(F.array_intersect("a", "b"))
+    return both.where(same * (OVER + UNDER) >= (F.size("a") + F.size("b")) * OVER).select("u", "v")
+
+
+def _dealt(rows: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """rows (with x, node) dealt out and sorted by grp: x, or, where x is in hot (x, tiles), x and a pair of sub-tiles."""
+    if hot is not None:
+        own = F.expr("CAST(pmod(node, tiles) AS int)")
+        pair = F.explode(F.expr("CASE WHEN tiles IS NULL THEN array(-1) ELSE transform(sequence(0, tiles - 1), j -> least(own, j) * tiles + greatest(own, j)) END"))
+        rows = rows.join(hot, "x", "left").withColumn("own", own).withColumn("tile", pair).withColumn(key, F.xxhash64("x", "tile")).drop("own", "tile", "tiles")
+    else:
+        rows = rows.withColumn(key, F.col("x"))
+    return rows.repartition(key).sortWithinPartitions(key, "node")
+
+
+def near_copies(docs: DataFrame, radius: int = WIDE, small: int = SMALL, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(doc_id, h, component_id, first) for each row of docs (doc_id, text).
+
+    component_id is the least doc_id of its near copies, h the text's hash; first: the row is the one of its
+    group that stays, or equal to it in doc_id and text (of several texts of the least doc_id that of the least hash).
+    """
+    prepare(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    n = docs.count()
+    made = docs.withColumn("node", F.xxhash64("text")).mapInArrow(_prefixes(_frequent(docs, n)), "doc_id long, h long, node long, n int, fp long, xs array<long>")
+    made = written(made, "copies-prefixes")
+    rows, hot = made.where("n > 0").dropDuplicates(["node"]).select("fp", "n", "node", F.explode("xs").alias("x")), None
+    if n > group_rows:  # shingles of so many texts are dealt out by pairs of sub-tiles
+        many = rows.groupBy("x").count().where(F.col("count") > group_rows).selectExpr("x", f"CAST(ceil(count / {group_rows / 2}) AS int) AS tiles")
+        many = written(many, "copies-hot")
+        hot = None if many.isEmpty() else many
+    schema = "x long, fp long, n int, node long, leader long"
+    shared = written(_dealt(rows, "grp", hot).mapInArrow(_first_candidates(radius, small), schema), "copies-shared")
+    links = written(_verified(docs, shared.where("node <> leader").selectExpr("least(node, leader) AS u", "greatest(node, leader) AS v")), "copies-links")
+    joined = written(connected_components(links, "copies-components"), "copies-named")
+    apart = shared.select("x", "fp", "n", "node").distinct() if hot is not None else shared.drop("leader")
+    apart = apart.join(joined, "node", "left").select("x", F.coalesce("component", "node").alias("c"), "fp", "n", "node")
+    mixed = apart.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("x")
+    apart = _dealt(apart.join(mixed, "x", "left_semi"), "grp", hot)
+    more = _verified(docs, apart.mapInArrow(_across(radius, small), "u long, v long"))
+    joined = connected_components(links.unionByName(more), "copies-components")
+    named = made.select("doc_id", "h", "node").join(joined, "node", "left").select("doc_id", "h", F.coalesce("component", "node").alias("c"))
+    named = written(named, "copies-rows")
+    least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least"))
+    found = named.join(least, "c")
+    return found.select("doc_id", "h", "component_id", (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("h") == F.col("least.h"))).alias("first"))
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
-from homeledger.llm import shingle_jaccard
+from homeledger.llm import simhash
 
 
 def grams(text):
@@ -40,20 +40,55 @@ def corpus():
     return texts + [words(rng.randrange(20, 60)) + " " + common for _ in range(60)]
 
 
-@pytest.mark.parametrize("seen", [3, 10**9])
-def test_near_copies(spark, monkeypatch, seen):
-    monkeypatch.setattr(shingle_jaccard, "SEEN", seen)
+@pytest.mark.parametrize(("seen", "rows"), [(3, 40_000), (10**9, 40_000), (3, 6)])
+def test_near_copies(spark, monkeypatch, seen, rows):
+    monkeypatch.setattr(simhash, "SEEN", seen)
     texts = corpus()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = brute(texts)
-    got = {r.doc_id: r.component_id for r in shingle_jaccard.near_copies(docs).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs, group_rows=rows).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert len(set(want)) < len({t for t in texts if t})
 
 
+def test_star_of_copies_that_are_not_alike(spark):
+    """Copies of one text with edits of their own: linked through the text or through each other, never dropped for their number."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    texts = []
+    for k in range(300):
+        w = list(base)
+        for _ in range(rng.choice((1, 1, 2, 3))):
+            w[rng.randrange(120)] = f"e{k}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_unite_in_parts(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    fp = np.sort(rng.integers(0, 1 << 12, 400).astype(np.uint64))
+    fp = fp[np.argsort(np.bitwise_count(fp), kind="stable")]
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 1
+    want = simhash.forest(len(fp), *np.nonzero(near))
+    for tile, held in ((512, 1 << 20), (16, 1), (7, 50)):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        monkeypatch.setattr(simhash, "HELD_PAIRS", held)
+        assert np.array_equal(simhash._labels(fp, np.zeros(len(fp), np.int64), 1), want)
+
+
 def test_stage_drops_near_copies(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     docs = spark.createDataFrame(rows)
     kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect())
     root = brute([r.text for r in rows])
     assert kept == [r.doc_id for i, r in enumerate(rows) if root[i] == i]
+
+
+def test_stage_drops_repeated_rows(spark, sf):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "a  b c d e f", "y"), (1, "other words here", "z"), (None, "no id", "n"), (None, None, "n")], "doc_id long, text string, fp string")
+    kept = sorted(((r.doc_id, r.text, r.fp) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()), key=repr)
+    assert kept == sorted([(1, "a b c d e f", "x"), (1, "other words here", "z"), (None, "no id", "n"), (None, None, "n")], key=repr)
