@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -328,29 +329,67 @@ def measures(text):
     t = text or ""
     w = re.findall("[^\x20\x09-\x0d]+", t)
     win = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    twice = {p for i, x in enumerate(win) if win.count(x) > 1 for p in range(i, i + 3)} if len(w) < 2500 else set()
+    times = Counter(win)
+    twice = {p for i, x in enumerate(win) if times[x] > 1 for p in range(i, i + 3)}
     lines = [x for x in t.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
     return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(twice)
 
 
+def rejected(text):
+    """By the rules that are not base."""
+    t, m = text or "", measures(text)
+    n, w = m[0], re.findall("[^\x20\x09-\x0d]+", t)
+    lines = [x for x in t.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    top = lambda xs: max(Counter(xs).values(), default=0)
+    return (
+        10 * m[2] > 3 * n or (len(lines) >= 4 and 2 * m[3] > len(lines)) or m[1] < 2 * n or m[1] > 15 * n
+        or 5 * sum(any(c.isascii() and c.isalpha() or ord(c) > 127 for c in x) for x in w) < 4 * n or 5 * top(w) > n or 10 * top(list(zip(w, w[1:]))) > n
+        or 2 * len(re.findall("[A-Z]", t)) > len(re.findall("[A-Za-z]", t)) or len(lines) >= 4 and 10 * sum(x.lstrip(" \t")[:1] in tuple("-*•") for x in lines) > 9 * len(lines)
+        or len(lines) >= 4 and 10 * sum(x.rstrip(" \t\r").endswith(("...", "…")) for x in lines) > 3 * len(lines)
+    )
+
+
 def test_quality_rules(spark, edge):
     d, docs, _ = edge
-    got = rows_of(quality_rules.op8_quality_rules(spark, d).where("n_words < 2500"))
+    got = rows_of(quality_rules.op8_quality_rules(spark, d))
     want = []
     for i, t in pairs(docs):
         m = measures(t)
-        if m[0] >= 2500:
-            continue
-        n_lines = sum(bool(re.search("[^\x20\x09-\x0d]", x)) for x in (t or "").split("\n"))
         failed = m[0] < 50 or 100 * m[4] > 50 * m[0]
-        more = 10 * m[2] > 3 * m[0] or (n_lines >= 4 and 2 * m[3] > n_lines) or m[1] < 2 * m[0] or m[1] > 15 * m[0]
-        want.append((i, *m, failed, not (failed or more)))
+        want.append((i, *m, failed, not (failed or rejected(t))))
     assert got == sorted(want, key=repr)
+    assert max(r[1] for r in got) > 2500
+
+
+def test_each_quality_rule(spark):
+    rng = random.Random(9)
+    plain = lambda n=80: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(n))
+    texts = {
+        "few_words": "short text", "repeats": "one two three " * 40, "symbols": plain().replace(" ", " # ", 60), "repeated_lines": "\n".join([plain(8)] * 2 + [plain(8)] * 2 + [plain(60), *["same line of it here"] * 9]),
+        "word_length": " ".join("z" * 40 + str(i) + "q" for i in range(60)), "few_letters": plain() + " " + " ".join(map(str, range(50))), "top_word": " und ".join(plain().split()),
+        "top_pair": " ".join(x if i % 6 else f"{x} the end" for i, x in enumerate(plain(78).split())), "capitals": plain().upper(), "bullets": "\n".join("- " + plain(12) for _ in range(9)),
+        "ellipsis": "\n".join(plain(12) + (" ..." if i % 2 else "…") for i in range(9)), "": plain(), "none": None,
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")
+    for rule in quality_rules.RULES:
+        got = quality_rules.cascade(docs.selectExpr("doc_id", "coalesce(text, '') AS t"), (rule,)).where("failed_rule IS NOT NULL").collect()
+        assert list(texts).index(rule.name) in {r.doc_id for r in got}, rule.name
+        assert list(texts).index("") not in {r.doc_id for r in got}, rule.name
+    kept = {r.doc_id: r.kept for r in quality_rules.quality(docs).collect()}
+    assert all(kept[i] == (not (measures(t)[0] < 50 or 2 * measures(t)[4] > measures(t)[0] or rejected(t))) for i, t in enumerate(texts.values()))
+
+
+def test_rejected_texts_are_not_measured(spark):
+    docs = spark.createDataFrame([(1, "few words"), (2, " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)))], "doc_id long, t string")
+    rules = {r.name: r for r in quality_rules.RULES}
+    got = {r.doc_id: r for r in quality_rules.cascade(docs, (rules["few_words"], rules["top_pair"], rules["capitals"])).collect()}
+    assert got[1].failed_rule == "few_words" and got[1].top_pair is None and got[1].n_capitals is None and got[1].w2 is None
+    assert got[2].failed_rule is None and got[2].top_pair == 1 and got[2].n_capitals == 0
 
 
 def test_cascade_order(spark):
     docs = spark.createDataFrame([(i, "word " * (10 if i % 2 else 100)) for i in range(50)], "doc_id long, text string")
-    order = quality_rules.ordered(quality_rules.RULES, [(1.0, 0.5), (1.0, 0.9), (0.1, 0.2), (1.0, 0.0), (5.0, 0.9)])
+    order = quality_rules.ordered(quality_rules.RULES[:5], [(1.0, 0.5), (1.0, 0.9), (0.1, 0.2), (1.0, 0.0), (5.0, 0.9)])
     assert [r.name for r in order][:2] == ["symbols", "repeats"]
     a = quality_rules.cascade(docs.selectExpr("doc_id", "text AS t"), quality_rules.RULES)
     b = quality_rules.cascade(docs.selectExpr("doc_id", "text AS t"), quality_rules.RULES[::-1])
