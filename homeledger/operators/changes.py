@@ -39,14 +39,13 @@ def events(old: str = "o", new: str = "n") -> Column:
     ))
 
 
-def history_events(snapshots: DataFrame) -> DataFrame:
-    """Events between each snapshot and the one before it, by listing and time."""
-    w = Window.partitionBy("listing_id").orderBy("checked_at", "event_id")
+def history_events(snapshots: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Events between each snapshot and the one before it, by listing, time and, at equal times, id."""
+    before = Window.partitionBy("listing_id").orderBy("checked_at", "event_id")
     now = F.struct("price_eur", "visits", "description", "images", "has_detail")
-    rows = snapshots.select("listing_id", "checked_at", now.alias("n")).withColumn("o", F.lag("n").over(Window.partitionBy("listing_id").orderBy("checked_at")))
-    del w
-    rows = rows.where("o IS NOT NULL").select("listing_id", "checked_at", F.explode(events()).alias("e"))
-    return rows.select("listing_id", "checked_at", "e.*")
+    rows = snapshots.select("listing_id", "checked_at", "event_id", now.alias("n")).withColumn("o", F.lag("n").over(before))
+    rows = rows.where("o IS NOT NULL").select("listing_id", "checked_at", *keep, F.explode(events()).alias("e"))
+    return rows.select("listing_id", "checked_at", *keep, "e.*")
 
 
 def split_at(snapshots: DataFrame, cut) -> tuple[DataFrame, DataFrame]:
@@ -61,9 +60,12 @@ def upsert(stored: DataFrame, incoming: DataFrame, columns: tuple[str, ...] = ("
     """New state: outcome (new, changed, unchanged, missing), the columns, status, needs_ai and event types.
 
     Without a detail page the stored DETAIL_COLUMNS stay; everything else is overwritten. A listing that is
-    not in the payloads is missing: inactive, its columns as they were. New listings have no events.
+    not in the payloads is missing: inactive, its columns as they were. New listings have no events. A mark that an
+    analysis is needed stays until one is saved. A listing that was inactive and comes again is `reactivated`; this is
+    no change by itself (reactivations() has its event).
     """
-    o = stored.select("listing_id", F.struct(*columns, F.col("status") if "status" in stored.columns else F.lit("active").alias("status")).alias("o"))
+    marks = {"status": F.lit("active"), "needs_ai": F.lit(False)}
+    o = stored.select("listing_id", F.struct(*columns, *(F.col(c) if c in stored.columns else v.alias(c) for c, v in marks.items())).alias("o"))
     n = incoming.select("listing_id", F.struct(*columns, "has_detail").alias("n"))
     rows = o.join(n, "listing_id", "full")
     rows = rows.withColumn("events", F.when(F.col("o").isNotNull() & F.col("n").isNotNull(), F.transform(events(), lambda e: e["event_type"])).otherwise(F.array().cast("array<string>")))
@@ -76,10 +78,23 @@ def upsert(stored: DataFrame, incoming: DataFrame, columns: tuple[str, ...] = ("
     again = F.coalesce(~gone & (F.col("o.status") == "inactive"), F.lit(False))
     return rows.select(
         "listing_id", outcome.alias("outcome"), *(v.alias(c) for c, v in out.items()), F.when(gone, "inactive").otherwise("active").alias("status"), again.alias("reactivated"),
-        (new | F.array_contains("events", "description_changed") | F.array_contains("events", "image_count_changed")).alias("needs_ai"), "events",
+        (new | F.coalesce("o.needs_ai", F.lit(False)) | F.array_contains("events", "description_changed") | F.array_contains("events", "image_count_changed")).alias("needs_ai"), "events",
     )
 
 
+def reactivations(upserted: DataFrame, at) -> DataFrame:
+    """(listing_id, event_type, reactivated_at) of listings that came again."""
+    return upserted.where("reactivated").select("listing_id", F.lit("listing_reactivated").alias("event_type"), F.lit(at).cast("timestamp").alias("reactivated_at"))
+
+
+def all_counters(upserted: DataFrame, failed: DataFrame) -> DataFrame:
+    """Counters of a run with what was stored, came again, and how many detail pages failed (listing_id, error)."""
+    rows = upserted.select("outcome", "reactivated").unionByName(failed.where("error IS NOT NULL").select(F.lit("failed").alias("outcome"), F.lit(False).alias("reactivated")))
+    c = lambda *x: F.count_if(F.col("outcome").isin(*x))
+    seen = ("new", "changed", "unchanged")
+    return rows.agg(c(*seen).alias("seen"), c(*seen).alias("stored"), c("new").alias("new"), c("changed").alias("changed"), c("missing").alias("inactive"), F.count_if("reactivated").alias("reactivated"), c("failed").alias("failed"))
+
+
 def run_counters(upserted: DataFrame) -> DataFrame:
     """How many listings were seen, new, changed and missing."""
     c = lambda x: F.count_if(F.col("outcome") == x)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nulls
@@ -102,6 +102,20 @@ PRIORS = (
 )
 
 
+def area_range(low: str, high: str):
+    """"30-48", "from 30" or "up to 48"; null without either."""
+    whole = lambda c: F.round(c).cast("long").cast("string")
+    both = F.concat_ws("-", whole(low), whole(high))
+    return F.when(F.col(low).isNull() & F.col(high).isNull(), None).when(F.col(low).isNull(), F.concat(F.lit("up to "), whole(high))).when(F.col(high).isNull(), F.concat(F.lit("from "), whole(low))).otherwise(both)
+
+
+def prior_prompts(spark: SparkSession) -> DataFrame:
+    """The bundled priors as a provider is told of them: hypotheses that evidence overrides."""
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(PRIORS)], "prior int, series string, building_type string, construction_period string, low double, high double, typical_room_count int, walkthrough_probability double, isolated_rooms_probability double, confidence string")
+    note = F.lit("Hypothesis only. Real listing evidence overrides this prior.")  # fixed value
+    return rows.withColumn("typical_area_range_m2", area_range("low", "high")).withColumn("note", note).drop("low", "high")
+
+
 def prior_matches(listings: DataFrame, most: int = 6, series: str = "series", building: str = "building_type", area: str = "area_m2", rooms: str = "declared_rooms") -> DataFrame:
     """(listing_id, position, series, relevance): the most relevant priors of each listing.
 

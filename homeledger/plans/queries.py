@@ -32,11 +32,18 @@ def query(sql: str | None = None):
     return register
 
 
+def _load_all() -> None:
+    """The modules that register their queries here."""
+    from . import read_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load_all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load_all()
     return dict(ORACLES)
 
 
@@ -183,18 +190,9 @@ def ranking_filtered(spark, sf):
 _NULL_ORDERS = {"transport": "transport_score DESC NULLS LAST", "cheap": "price_eur ASC NULLS LAST", "dear": "price_eur DESC NULLS LAST", "area": "area_m2 DESC NULLS LAST"}
 
 
-@query(f"{M} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS view, listing_id, CAST(row_number() OVER (ORDER BY {o}, listing_id) AS INT) AS position FROM market ORDER BY position LIMIT 50)" for k, o in _NULL_ORDERS.items()))
-def ranking_null_last_sorts(spark, sf):
-    rows, out = bind(spark, sf, "market").withColumn("score", F.col("transport_score")), None
-    for k, name in (("transport", "score"), ("cheap", "price_asc"), ("dear", "price_desc"), ("area", "area")):
-        part = ranking.top(rows, 50, [*ranking.VIEW_ORDERS[name](), F.col("listing_id").asc()]).select(F.lit(k).alias("view"), "listing_id", "position")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @query(f"{M} " + " UNION ALL ".join(f"SELECT '{k}' AS view, listing_id, CAST(row_number() OVER (ORDER BY {o}, listing_id) AS INT) AS position FROM market" for k, o in _NULL_ORDERS.items()))
-def ranking_null_last_sorts_whole(spark, sf):
-    """Every row of each re-sort, those with nulls too; ranking_null_last_sorts has the first 50."""
+def ranking_null_last_sorts(spark, sf):
+    """Every row of each re-sort, those with nulls too."""
     rows, out = bind(spark, sf, "market").withColumn("score", F.col("transport_score")), None
     for k, name in (("transport", "score"), ("cheap", "price_asc"), ("dear", "price_desc"), ("area", "area")):
         part = ranking.positions(rows, [*ranking.VIEW_ORDERS[name](), F.col("listing_id").asc()]).select(F.lit(k).alias("view"), "listing_id", "position")
@@ -464,14 +462,19 @@ def stable_hash(spark, sf):
     return load(spark, sf, "documents").select("doc_id", text.stable_hash("text").alias("digest"))
 
 
-@query("SELECT doc_id, sha256(nullif(trim(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '\\n\\s+', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '')) AS digest FROM documents WHERE NOT contains(text, '&')")
-def clean_text(spark, sf):
-    return load(spark, sf, "documents").where("NOT contains(text, '&')").select("doc_id", F.sha2(text.clean_text("text"), 256).alias("digest"))
+#: DuckDB decodes no entities: the ones that the tables hold, in the order in which a later one cannot make an earlier one.
+_ENTITIES = {"&nbsp;": "chr(160)", "&lt;": "'<'", "&gt;": "'>'", "&quot;": "chr(34)", "&#39;": "chr(39)", "&amp;": "'&'"}
 
 
-@query()
-def clean_text_whole(spark, sf):
-    """All documents, with entities to decode (which DuckDB cannot) and null ones too; clean_text has those without "&"."""
+def _decoded(v: str) -> str:
+    for name, char in _ENTITIES.items():
+        v = f"replace({v}, '{name}', {char})"
+    return v
+
+
+@query(f"SELECT doc_id, sha256(nullif(trim(regexp_replace(regexp_replace(replace({_decoded('text')}, chr(160), ' '), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '\\n\\s+', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)), '')) AS digest FROM documents")
+def clean_text(spark, sf):
+    """All documents, with entities to decode and null ones too."""
     return load(spark, sf, "documents").select("doc_id", F.sha2(text.clean_text("text"), 256).alias("digest"))
 
 
@@ -520,18 +523,6 @@ def key_flags(spark, sf):
     return rows.select("listing_id", F.array_join(views.key_flags(), ", ").alias("flags"))
 
 
-@query(f"{M}, c AS (SELECT *, price_eur / area_m2 AS ppm2 FROM market WHERE listing_id IN (3, 8, 26, 44)), r AS (" + " UNION ALL ".join(f"SELECT listing_id, {i} AS row, '{n}' AS label, {v} AS value FROM c" for i, n, v in (
-    (0, "Price", "replace(format('{:,}', price_eur), ',', ' ') || ' EUR'"), (2, "Area", "CAST(CAST(area_m2 AS BIGINT) AS VARCHAR) || ' m2'"), (3, "Effective private rooms", "coalesce(CAST(private_rooms AS VARCHAR), 'unknown')"),
-    (4, "SS-declared rooms", "CAST(declared_rooms AS VARCHAR)"), (5, "Layout confidence", "coalesce(layout_label, 'unknown')"), (6, "Mortgage risk", "coalesce(risk, 'unknown')"), (8, "Building / series", "coalesce(series, 'unknown')"),
-    (9, "Flags", "coalesce(nullif(concat_ws(', ', CASE WHEN is_favorite THEN 'Favorite' END, CASE WHEN private_rooms <> declared_rooms THEN 'Room conflict' END, CASE WHEN kitchen_living THEN 'Kitchen-living' END, CASE WHEN risk IN ('High', 'Critical') THEN 'High mortgage risk' END), ''), 'none')"),
-)) + ") SELECT row, label, max(value) FILTER (WHERE listing_id = 26) AS l1, max(value) FILTER (WHERE listing_id = 3) AS l2, max(value) FILTER (WHERE listing_id = 44) AS l3, max(value) FILTER (WHERE listing_id = 8) AS l4 FROM r GROUP BY row, label")
-def comparison_transpose(spark, sf):
-    """The rows that this SQL has, under its numbers; comparison_transpose_whole has all."""
-    found = views.comparison(_compared(spark, sf).withColumn("building_type", F.lit(None).cast("string")), [26, 3, 44, 8])
-    number = F.expr("CASE label WHEN 'Building / series' THEN 8 WHEN 'Flags' THEN 9 WHEN 'EUR/m2' THEN NULL ELSE CASE WHEN row < 7 THEN row END END")
-    return found.withColumn("row", number).where("row IS NOT NULL")
-
-
 #: What the tables lack for a comparison: distances, shops near by, building type and overall score.
 _APART = {
     "rtu_distance": "CASE WHEN listing_id % 13 <> 0 THEN CAST(listing_id * 371 % 40000 AS DOUBLE) / 10 END", "station_distance": "CASE WHEN listing_id % 11 <> 0 THEN CAST(listing_id * 173 % 30000 AS DOUBLE) / 10 END",
@@ -553,7 +544,7 @@ _UNKNOWN = lambda v: f"coalesce({v}, 'unknown')"
     ("Shops within 1200 m", _UNKNOWN("CAST(shops_1200 AS VARCHAR)")), ("Building / series", _UNKNOWN("coalesce(series, building_type)")), ("Score", _UNKNOWN("printf('%.1f', score)")),
     ("Flags", "coalesce(nullif(concat_ws(', ', CASE WHEN is_favorite THEN 'Favorite' END, CASE WHEN private_rooms <> declared_rooms THEN 'Room conflict' END, CASE WHEN kitchen_living THEN 'Kitchen-living' END, CASE WHEN risk IN ('High', 'Critical') THEN 'High mortgage risk' END), ''), 'none')"),
 ))) + ") SELECT row, label, " + ", ".join(f"max(value) FILTER (WHERE listing_id = {k}) AS l{i}" for i, k in enumerate((26, 3, 44, 8, 12), 1)) + " FROM r GROUP BY row, label")
-def comparison_transpose_whole(spark, sf):
+def comparison_transpose(spark, sf):
     """All 14 attribute rows."""
     return views.comparison(_compared(spark, sf), [26, 3, 44, 8, 12])
 
@@ -641,14 +632,9 @@ def visible_markers(spark, sf):
     return filters.by_ids(places.markers(rows), shown).select("listing_id", "lat", "lon")
 
 
-@query(f"{P} SELECT poi_id, poi_name, category, CAST(row_number() OVER (ORDER BY poi_name NULLS FIRST, poi_id) AS INT) AS position FROM pois QUALIFY position <= 40")
-def poi_order(spark, sf):
-    return ranking.top(bind(spark, sf, "pois"), 40, [F.col("poi_name").asc_nulls_first(), F.col("poi_id").asc()]).select("poi_id", "poi_name", "category", "position")
-
-
 @query(f"{P} SELECT poi_id, poi_name, category, CAST(row_number() OVER (ORDER BY poi_name NULLS FIRST, poi_id) AS INT) AS position FROM pois")
-def poi_order_whole(spark, sf):
-    """All points of interest in order; poi_order has the first 40."""
+def poi_order(spark, sf):
+    """All points of interest in order."""
     return ranking.positions(bind(spark, sf, "pois"), [F.col("poi_name").asc_nulls_first(), F.col("poi_id").asc()]).select("poi_id", "poi_name", "category", "position")
 
 

@@ -72,7 +72,56 @@ SELECT user_id AS listing_id, event_id, ts AS checked_at, CASE WHEN event_id % 1
 FROM events
 """
 
-BINDINGS = {"market": MARKET, "places": PLACES, "pois": POIS, "states": STATES, "analyses": ANALYSES, "listings": LISTINGS, "snapshots": SNAPSHOTS}
+#: User states, images, analyses, positions, location scores, price values and profile scores of the same listings; `stored` tells which rows exist.
+USERS = """
+SELECT p_partkey AS listing_id, p_partkey % 13 = 0 AS is_favorite, p_partkey % 17 = 0 AS is_rejected, p_partkey % 3 = 0 AS is_viewed,
+  CASE WHEN p_partkey % 17 = 0 THEN 'rejected' WHEN p_partkey % 13 = 0 THEN 'favorite' WHEN p_partkey % 3 = 0 THEN 'viewed' ELSE 'unseen' END AS user_status,
+  CASE p_partkey % 16 WHEN 3 THEN concat('call ', p_name) WHEN 5 THEN '  ' WHEN 7 THEN '' END AS notes, p_partkey % 5 <> 4 AS stored
+FROM part
+"""
+IMAGES = """
+SELECT l_partkey AS listing_id, l_orderkey * 10 + l_linenumber AS image_id, l_returnflag = 'R' AND l_linenumber = 1 AS is_floor_plan,
+  CASE l_linenumber WHEN 1 THEN concat('/plans/', CAST(l_orderkey AS VARCHAR(20)), '.png') WHEN 2 THEN '' END AS path
+FROM lineitem
+"""
+AI = """
+SELECT l_partkey AS listing_id, l_orderkey * 10 + l_linenumber AS version, CASE WHEN l_linestatus = 'O' THEN 'finished' ELSE 'failed' END AS state,
+  CASE WHEN l_linenumber <> 6 THEN CAST(CAST(l_quantity AS INT) % 5 AS INT) END AS private_rooms, CAST(CAST(l_quantity AS INT) % 3 AS INT) AS walkthrough_rooms,
+  l_linenumber % 3 = 0 AS kitchen_living, l_linenumber % 4 = 1 AS room_conflict, CASE l_linenumber WHEN 1 THEN 'Confirmed' WHEN 2 THEN 'Likely' WHEN 3 THEN 'Unclear' WHEN 4 THEN 'Conflict' END AS layout_label,
+  CASE l_linenumber WHEN 1 THEN 'Low' WHEN 3 THEN 'Medium' WHEN 4 THEN 'High' WHEN 5 THEN 'Critical' END AS risk, l_orderkey % 11 = 0 AS stove, l_orderkey % 13 = 0 AS wooden,
+  CASE l_linenumber % 4 WHEN 0 THEN '[]' WHEN 1 THEN '' WHEN 2 THEN '["7"]' END AS floor_plan_ids, CASE WHEN l_orderkey % 4 <> 0 THEN concat('layout of ', CAST(l_orderkey AS VARCHAR(20))) ELSE ' ' END AS layout_text,
+  CASE WHEN l_orderkey % 5 <> 0 THEN '["thick walls"]' END AS risk_reasons, CASE WHEN l_orderkey % 7 <> 0 THEN concat('evidence ', CAST(l_orderkey AS VARCHAR(20))) END AS risk_text
+FROM lineitem
+"""
+LOCATED = """
+SELECT p_partkey AS listing_id, CASE WHEN p_partkey % 6 <> 0 THEN 56.9 + CAST(p_partkey % 100 AS DOUBLE) / 1000 END AS lat, CASE WHEN p_partkey % 6 <> 0 THEN 24.1 + CAST(p_partkey % 64 AS DOUBLE) / 1000 END AS lon,
+  CASE p_partkey % 4 WHEN 0 THEN 'exact_house' WHEN 1 THEN 'street_approx' WHEN 2 THEN 'district_approx' END AS precision, CASE p_partkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' END AS confidence,
+  p_partkey % 4 = 0 AS geo_enabled, CASE WHEN p_partkey % 4 <> 0 THEN 'Approximate address - location scores not calculated' END AS geo_reason, p_partkey % 9 <> 2 AS stored
+FROM part
+"""
+LOCATION = """
+SELECT p_partkey AS listing_id, CAST(p_partkey * 371 % 40000 AS DOUBLE) / 9.7 AS rtu_distance, CAST(p_partkey * 53 % 101 AS DOUBLE) AS rtu_score, CAST(p_partkey * 173 % 30000 AS DOUBLE) / 9.7 AS station_distance,
+  CASE WHEN p_partkey % 15 <> 0 THEN CAST(p_partkey * 61 % 101 AS DOUBLE) END AS station_score, CASE WHEN p_partkey % 8 <> 1 THEN CAST(p_partkey % 900 AS DOUBLE) END AS nearest_shop, CAST(p_partkey % 12 AS INT) AS shops_1200,
+  CAST(p_partkey * 71 % 101 AS DOUBLE) AS shop_score, CAST(p_partkey % 700 AS DOUBLE) AS nearest_stop, CAST(p_partkey % 7 AS INT) AS stops_900, CAST(p_partkey * 37 % 101 AS DOUBLE) AS transport_score,
+  p_partkey % 8 <> 1 AS has_cache, p_partkey % 7 <> 3 AS stored
+FROM part
+"""
+VALUATION = """
+SELECT p_partkey AS listing_id, CAST(p_partkey * 29 % 101 AS DOUBLE) AS price_value_score, CAST(p_partkey * 31 % 101 AS DOUBLE) AS ppm2_score, CAST(p_partkey * 41 % 101 AS DOUBLE) AS room_score,
+  CASE WHEN p_partkey % 6 <> 5 THEN CAST(p_partkey * 43 % 101 AS DOUBLE) END AS absolute_score, p_partkey % 19 = 0 AS suspicious, CASE WHEN p_partkey % 10 <> 9 THEN 'district' END AS baseline_level,
+  CAST(p_partkey % 40 AS INT) AS baseline_n, CAST(p_partkey % 5000 AS DOUBLE) / 4 AS baseline_median, CASE WHEN p_partkey % 10 <> 9 THEN 'Baseline of the district.' END AS baseline_text, p_partkey % 11 <> 6 AS stored
+FROM part
+"""
+PROFILED = """
+SELECT p_partkey AS listing_id, CASE WHEN p_partkey % 2 = 0 THEN 'best_price' ELSE 'best_transport' END AS profile_key, CAST(p_partkey * 59 % 1000 AS DOUBLE) / 9.7 AS score,
+  CASE WHEN p_partkey % 4 <> 0 THEN concat('Weighted of ', CAST(p_partkey % 9 AS VARCHAR(4))) END AS score_text,
+  CASE p_partkey % 5 WHEN 0 THEN '[1]' WHEN 1 THEN 'no json' WHEN 2 THEN concat('{"price_value": {"score": ', CAST(p_partkey % 101 AS VARCHAR(4)), ', "explanation": "cheap"}, "attic_view": {"score": "x"}, "floor": 3}') WHEN 3 THEN concat('{"floor": {"score": ', CAST(p_partkey % 77 AS VARCHAR(4)), '}, "useful_area": {"score": 50}}') END AS breakdown, p_partkey % 23 <> 8 AS stored
+FROM part
+"""
+
+BINDINGS = {"market": MARKET, "places": PLACES, "pois": POIS, "states": STATES, "analyses": ANALYSES, "listings": LISTINGS, "snapshots": SNAPSHOTS} | {
+    "users": USERS, "images": IMAGES, "ai": AI, "located": LOCATED, "location": LOCATION, "valuation": VALUATION, "profiled": PROFILED,
+}
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -19,5 +19,5 @@ def test_clean_text_whole(spark, sf, tmp_path):
     more = [(-1, None), (-2, "&amp;"), (-3, " a&nbsp;&nbsp;b \n\t &lt;c&#62; &eacute;&bogus; "), (-4, "&#32;\n&nbsp;"), (-5, "&amp;amp;")]
     rows = given.unionByName(spark.createDataFrame(more, given.schema))
     rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.digest for r in core.queries()["clean_text_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.digest for r in core.queries()["clean_text"](spark, str(tmp_path)).collect()}
     assert got == {r.doc_id: cleaned(r.text) for r in rows.collect()}
