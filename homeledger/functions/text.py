@@ -1,7 +1,7 @@
 """Parsers and formatters of listing text, as column expressions.
 
 Patterns use (?U) so that Java's classes cover all letters and blanks. Entities need Python's table, so
-`unescape` alone is an Arrow-batched UDF; `clean_text` calls it only for texts with an ampersand.
+`unescape` alone is an Arrow-batched UDF; `clean_text` sends it the texts with an ampersand and null for all others.
 """
 
 from __future__ import annotations
@@ -25,27 +25,40 @@ def unescape() -> Column:
     return run
 
 
+_BLANKS = "\t\r\f\x0b\u00a0"
+
+
 def clean_text(c: str | Column, entities: bool = True) -> Column:
-    """Entities decoded, no-break and repeated blanks made one, line indents cut, trimmed; empty is null."""
+    """Entities decoded, blanks made one, line indents and empty lines cut, trimmed; empty is null."""
     text = col(c)
     if entities:
-        text = F.when(F.contains(text, F.lit("&")), unescape()(text)).otherwise(text)
-    text = F.replace(text, F.lit(" "), F.lit(" "))
-    text = F.regexp_replace(text, "[ \\t\\r\\f\\x0B]+", " ")
-    text = F.regexp_replace(text, "(?U)\\n\\s+", "\n")
-    return filled(F.regexp_replace(text, "(?U)^\\s+|\\s+$", ""))
+        text = F.coalesce(unescape()(F.when(F.contains(text, F.lit("&")), text)), text)
+    text = F.regexp_replace(F.translate(text, _BLANKS, " " * len(_BLANKS)), " {2,}", " ")
+    lines = F.split(text, "\n", -1)
+    rest = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.regexp_replace(x, "(?U)^\\s+", ""))
+    text = F.array_join(F.concat(F.slice(lines, 1, 1), F.filter(rest, lambda x: x != "")), "\n")
+    return filled(F.regexp_replace(F.regexp_replace(text, "(?U)^\\s+", ""), "(?U)\\s+$", ""))
+
+
+def _first_number(text: Column) -> Column:
+    """From the first digit on, up to what is neither digit, blank, comma nor point; empty without a digit."""
+    return F.regexp_replace(F.regexp_replace(text, "(?Us)^\\D+", ""), "(?Us)[^\\d\\s,.].*$", "")
+
+
+def _digits(text: Column) -> Column:
+    return F.regexp_replace(text, "(?U)\\D", "")
 
 
 def parse_int(c: str | Column) -> Column:
     """All digits of the first number, separators dropped ("44.5" gives 445)."""
-    run = F.regexp_extract(col(c), "(?U)\\d[\\d\\s,.]*", 0)
-    return filled(F.regexp_replace(run, "(?U)\\D", "")).try_cast("bigint")
+    return filled(_digits(_first_number(col(c)))).try_cast("bigint")
 
 
 def parse_float(c: str | Column) -> Column:
-    """The first number; a comma or point starts its decimals, blanks inside are dropped."""
-    run = F.regexp_extract(col(c), "(?U)\\d[\\d\\s]*(?:[,.]\\d+)?", 0)
-    return F.replace(F.replace(filled(run), F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+    """The first number; a comma or point with a digit after it starts its decimals, blanks inside are dropped."""
+    parts = F.split(_first_number(col(c)), "[,.]", 3)
+    decimals = F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), "(?Us)\\D.*$", "")
+    return F.concat(filled(_digits(parts[0])), F.lit("."), F.when(decimals == "", "0").otherwise(decimals)).try_cast("double")
 
 
 def price_eur(c: str | Column) -> Column:
@@ -55,24 +68,36 @@ def price_eur(c: str | Column) -> Column:
 
 def price_per_m2(c: str | Column) -> Column:
     """The number of "(... € / m" in parentheses."""
-    return parse_float(F.regexp_extract(col(c), "(?U)\\(([\\d\\s,.]+)\\s*€\\s*/\\s*m", 1))
+    opened = F.slice(F.split(col(c), "\\("), F.lit(2), F.greatest(F.size(F.split(col(c), "\\(")) - 1, F.lit(0)))
+    bare = lambda x: F.regexp_replace(x, "(?U)\\s", "")
+    number = lambda x: F.substring_index(bare(x), "€", 1)
+    fits = F.filter(opened, lambda x: F.startswith(bare(x), F.concat(number(x), F.lit("€/m"))) & (F.translate(number(x), "0123456789,.", "") == "") & (number(x) != ""))
+    return parse_float(F.substring_index(F.try_element_at(fits, F.lit(1)), "€", 1))
 
 
 def floors(c: str | Column) -> Column:
-    """struct(floor, total): both of "a/b", else one number and null."""
-    pair = "(?U)(\\d+)\\s*/\\s*(\\d+)"
-    both = F.regexp_like(col(c), F.lit(pair))
-    part = lambda i: F.regexp_extract(col(c), pair, i).try_cast("bigint")
-    return F.struct(F.when(both, part(1)).otherwise(parse_int(c)).alias("floor"), F.when(both, part(2)).alias("total"))
+    """struct(floor, total): the numbers on both sides of a slash, else one number and null."""
+    sides = F.split(F.regexp_replace(col(c), "(?U)\\s*/\\s*", "/"), "/")
+    pairs = F.zip_with(sides, F.slice(sides, F.lit(2), F.greatest(F.size(sides) - 1, F.lit(0))), lambda x, y: F.struct(F.regexp_replace(x, "(?Us)^.*\\D", "").alias("a"), F.regexp_replace(y, "(?Us)\\D.*$", "").alias("b")))
+    pair = F.try_element_at(F.filter(pairs, lambda p: (p["a"] != "") & (p["b"] != "")), F.lit(1))
+    return F.struct(F.when(pair.isNotNull(), pair["a"].try_cast("bigint")).otherwise(parse_int(c)).alias("floor"), pair["b"].try_cast("bigint").alias("total"))
+
+
+#: Fixed value: the word of the link to a map behind an address.
+MAP_WORD = "karte"
 
 
 def address_parts(c: str | Column, entities: bool = False) -> Column:
     """struct(street, number): a trailing "[Karte]" is cut; a last word that starts with a digit is the number."""
-    text = F.regexp_replace(clean_text(c, entities), "(?iU)\\s*\\[\\s*karte\\s*\\]\\s*$", "")
-    pattern = "(?U)^(.+?)\\s+(\\d[\\w./-]*)$"
-    numbered = F.regexp_like(text, F.lit(pattern))
-    street = F.when(numbered, F.regexp_extract(text, pattern, 1)).otherwise(filled(text))
-    return F.struct(street.alias("street"), F.when(numbered, F.regexp_extract(text, pattern, 2)).alias("number"))
+    text = clean_text(c, entities)
+    bracket = F.lower(F.regexp_replace(F.substring_index(text, "[", -1), "(?U)\\s", ""))
+    mapped = F.contains(text, F.lit("[")) & (bracket == MAP_WORD + "]")
+    text = F.when(mapped, F.regexp_replace(F.substr(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, "[", -1)) - 1), "(?U)\\s+$", "")).otherwise(text)
+    words = F.split(text, "(?U)\\s+")
+    last = F.try_element_at(words, F.lit(-1))
+    numbered = (F.size(words) > 1) & F.regexp_like(last, F.lit("(?U)^\\d")) & (F.regexp_replace(last, "(?U)[\\w./-]", "") == "")
+    street = F.regexp_replace(F.substr(text, F.lit(1), F.length(text) - F.length(last)), "(?U)\\s+$", "")
+    return F.struct(F.when(numbered, street).otherwise(filled(text)).alias("street"), F.when(numbered, last).alias("number"))
 
 
 def stable_hash(c: str | Column) -> Column:
@@ -80,8 +105,11 @@ def stable_hash(c: str | Column) -> Column:
 
 
 def page_number(c: str | Column) -> Column:
-    """Number of ".../page<n>.html" at an address's end, else 1."""
-    return F.coalesce(filled(F.regexp_extract(col(c), "/page(\\d+)\\.html(?:$|[?#])", 1)).try_cast("int"), F.lit(1))
+    """Number of an address whose path ends in page<n>.html, else 1."""
+    name = F.substring_index(F.substring_index(F.substring_index(col(c), "#", 1), "?", 1), "/", -1)
+    number = F.substr(name, F.lit(5), F.length(name) - 9)
+    named = F.startswith(name, F.lit("page")) & F.endswith(name, F.lit(".html")) & F.contains(col(c), F.lit("/")) & (F.translate(number, "0123456789", "") == "")
+    return F.coalesce(F.when(named, number.try_cast("int")), F.lit(1))
 
 
 def thousands(c: str | Column) -> Column:
