@@ -9,13 +9,24 @@ from functools import lru_cache
 from pyarrow import fs as pafs
 
 
+#: Schemes of Hadoop's connectors that pyarrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def resolved(spark, root: str) -> str:
+    """root with its scheme, as Spark would resolve it: without one it is a path of the default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 @lru_cache(maxsize=16)
 def _store(root: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in root and not root.startswith("file:"):
-        return pafs.LocalFileSystem(), root
-    if root.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(root)
+    scheme, _, path = root.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + path.lstrip("/")
+    if not path.startswith("//"):
+        raise ValueError(f"{root} has no scheme: executors cannot tell which file system is meant")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{path}")
 
 
 def write(root: str, name: str, data: bytes) -> None:

@@ -1,9 +1,12 @@
 """Deterministic sharded WARC writer and reader.
 
-Pages are range-sorted by page_id. Each task rolls files of about FILE_BYTES compressed bytes; a record is
-a gzip member of its own. Headers, record ids and digests are made anew from the payload. Files get a
-temporary name and are renamed; the manifest, a table, lists the files of successful attempts with their
-size and SHA-256, so a repeated attempt writes the same bytes under the same name.
+Pages are cut into shards, ranges of page_id, by a rule of the rows alone: equal spans of as many ids as hold
+about a shard's bytes on average; a shard of over HOT times as much is cut again by its own ids, as often as
+need be, and one of a single id (or of none) by digest. Shards are whole in a task, sorted by page_id, and rolled
+into files of about FILE_BYTES compressed bytes; a record is a gzip member of its own. Headers, record ids and
+digests are made anew from the payload. Files are named by shard and number, get a temporary name and are
+renamed; the manifest, a table, lists the files of successful attempts with their size and SHA-256. So the
+files are the same bytes under the same names whatever the number of partitions, executors and attempts.
 
 Of records with equal payloads of at least min_bytes bytes, that with the largest page_id is the response
 and the others are revisits, which keep HTTP headers (with the full length) but no payload; smaller ones
@@ -12,8 +15,8 @@ pages share moves no page twice.
 
 Null html is an empty payload, null url an empty one. Repeated rows of the largest page_id and the same
 payload are all responses. A null page_id never is a response that others refer to: such a row revisits
-the group's response if there is one, else it is a response. Times are fixed, so output depends on the
-rows alone.
+the group's response if there is one, else it is a response. Very long payloads are a record like any other, and
+an empty table gives no file. Only page_id, url and html are read; other columns do not travel.
 """
 
 from __future__ import annotations
@@ -35,10 +38,14 @@ from .common import blocks, prepare, table, work_dir, written
 
 FILE_BYTES = 32 << 20
 MIN_BYTES = 0
+#: A shard's bytes are a 64th of all, but no fewer or more than these; HOT times as many are too many.
+LEAST_SHARD, MOST_SHARD, HOT = 4 << 20, 1 << 30, 4
+#: Bytes that a record has besides its payload, about; tasks that read archives back, at most.
+RECORD_BYTES, MOST_TASKS = 600, 1 << 14
 DATE = "2000-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "part int, no int, file string, n_records long, n_bytes long, sha256 string"
+MANIFEST = "low long, way int, no int, file string, n_records long, n_bytes long, sha256 string"
 
 
 def base32(sha1: bytes) -> str:
@@ -81,16 +88,15 @@ def _member(data: bytes) -> bytes:
 
 def _writer(root: str, file_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, no, held, size = TaskContext.get().partitionId(), 0, [], 0
+        shard, no, held, size = (None, None), 0, [], 0
         mark: tuple = (None, None)
 
         def flush() -> pa.RecordBatch:
-            data, name = b"".join(held), f"part-{part:06d}-{no:05d}.warc.gz"
+            low, way = shard
+            data, name = b"".join(held), f"pages-{'none' if low is None else f'{low:+020d}'}-{way:05d}-{no:05d}.warc.gz"
             files.write(root, name, data)
-            row = {"part": [part], "no": [no], "file": [name], "n_records": [len(held) - 1], "n_bytes": [len(data)], "sha256": [hashlib.sha256(data).hexdigest()]}
-            kinds = {"part": pa.int32(), "no": pa.int32(), "file": pa.string(), "n_records": pa.int64(), "n_bytes": pa.int64(), "sha256": pa.string()}
+            row = {"low": [low], "way": [way], "no": [no], "file": [name], "n_records": [len(held) - 1], "n_bytes": [len(data)], "sha256": [hashlib.sha256(data).hexdigest()]}
+            kinds = {"low": pa.int64(), "way": pa.int32(), "no": pa.int32(), "file": pa.string(), "n_records": pa.int64(), "n_bytes": pa.int64(), "sha256": pa.string()}
             return pa.RecordBatch.from_arrays([pa.array(row[c], t) for c, t in kinds.items()], list(kinds))
 
         info = b"software: homeledger\r\nformat: WARC File Format 1.1\r\n"
@@ -98,6 +104,10 @@ def _writer(root: str, file_bytes: int):
         for batch in blocks(batches, "html"):
             for r in batch.to_pylist():
                 own = (r["page_id"], r["digest"])
+                if (r["low"], r["way"]) != shard:
+                    if held:
+                        yield flush()
+                    shard, held, no, size = (r["low"], r["way"]), [], 0, 0
                 if not r["kind"]:
                     mark = own, r["refers_to"]
                     continue
@@ -115,19 +125,48 @@ def _writer(root: str, file_bytes: int):
     return write
 
 
-def write_warc(pages: DataFrame, root: str | None = None, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
+def _cuts(own: DataFrame, least: int, most: int) -> list[DataFrame]:
+    """The cuts of too large shards (low, a, span, ways), level by level, each a table; at first all rows are one shard."""
+    size = F.sum(F.col("n") + RECORD_BYTES)
+    target, levels = min(most, max(least, (own.agg(size).first()[0] or 0) // 64)), []
+    while True:
+        shards = _sharded(own, levels).where("NOT split").groupBy("low").agg(size.alias("b"), F.min("page_id").alias("a"), F.max("page_id").alias("z"))
+        wide = "(CAST(z AS decimal(38,0)) - CAST(a AS decimal(38,0)) + 1)"  # ids span up to 2**64
+        span = f"CASE WHEN a < z THEN CAST(least(9223372036854775807, ceil({wide} * {target} / b)) AS bigint) END"
+        hot = shards.where(f"b > {HOT * target}").selectExpr("low", "a", f"{span} AS span", f"CASE WHEN a < z THEN 1 ELSE CAST(ceil(b / {target}) AS int) END AS ways")
+        levels.append(written(hot, "warc-cuts"))
+        if levels[-1].isEmpty():
+            return levels[:-1]
+
+
+def _sharded(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """rows (page_id, digest) with their shard, low and way, and whether it was split by digest."""
+    rows = rows.withColumns({"low": F.lit(None).cast("long"), "way": F.lit(0), "split": F.lit(False)})
+    for cut in levels:  # a row for HOT shards' bytes at most: some 25,000 for 100 TB
+        cut = cut.select(F.col("low").alias("_low"), F.col("a").alias("_a"), "span", "ways")
+        rows = rows.join(F.broadcast(cut), F.col("low").eqNullSafe(F.col("_low")) & ~F.col("split"), "left")
+        low = "CAST(CAST((CAST(page_id AS decimal(38,0)) - _a) div span AS decimal(38,0)) * span + _a AS bigint)"
+        rows = rows.withColumn("low", F.expr(f"CASE WHEN span IS NOT NULL AND page_id IS NOT NULL THEN {low} ELSE low END"))
+        rows = rows.withColumn("way", F.expr("CASE WHEN ways > 1 THEN CAST(pmod(crc32(CAST(digest AS binary)), ways) AS int) ELSE way END"))
+        rows = rows.withColumn("split", F.coalesce(F.col("ways") > 1, F.col("split"))).drop("_low", "_a", "span", "ways")
+    return rows
+
+
+def write_warc(pages: DataFrame, root: str | None = None, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES, least_shard: int = LEAST_SHARD, most_shard: int = MOST_SHARD) -> DataFrame:
     """Writes pages (page_id, url, html); returns the manifest."""
     spark = pages.sparkSession
     prepare(spark)
-    root = root or work_dir(spark, "warc")
+    root = files.resolved(spark, root or work_dir(spark, "warc"))
     pages = pages.selectExpr("CAST(page_id AS bigint) AS page_id", "url", "html")
-    own = pages.selectExpr("page_id", "sha1(CAST(coalesce(html, '') AS binary)) AS digest", "octet_length(coalesce(html, '')) AS n").where(f"n >= {int(min_bytes)}")
-    top = own.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1 AND refers_to IS NOT NULL")
-    twins = own.join(top.drop("c"), "digest").where("NOT page_id <=> refers_to").selectExpr("page_id AS twin", "digest", "refers_to").distinct()
+    own = written(pages.selectExpr("page_id", "sha1(CAST(coalesce(html, '') AS binary)) AS digest", "octet_length(coalesce(html, '')) AS n"), "warc-digests")
+    levels = _cuts(own, least_shard, most_shard)
+    long = own.where(f"n >= {int(min_bytes)}").drop("n")
+    top = long.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1 AND refers_to IS NOT NULL")
+    twins = long.join(top.drop("c"), "digest").where("NOT page_id <=> refers_to").selectExpr("page_id AS twin", "digest", "refers_to").distinct()
     # the marks travel as rows of their own just before their page, so that html is moved once
     marks = twins.selectExpr("twin AS page_id", "digest", "0 AS kind", "CAST(null AS string) AS url", "CAST(null AS string) AS html", "refers_to")
     rows = pages.selectExpr("page_id", "sha1(CAST(coalesce(html, '') AS binary)) AS digest", "1 AS kind", "url", "html", "CAST(null AS bigint) AS refers_to")
-    rows = rows.unionByName(marks).repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url", "html")
+    rows = _sharded(rows.unionByName(marks), levels).drop("split").repartition("low", "way").sortWithinPartitions("low", "way", "page_id", "digest", "kind", "url", "html")
     return written(rows.mapInArrow(_writer(root, file_bytes), MANIFEST), "warc-manifest").withColumn("root", F.lit(root))
 
 
@@ -203,7 +242,7 @@ def parse_plain(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_warc(manifest: DataFrame, payloads: bool = False) -> DataFrame:
     """Rows (READ) of the archives that a manifest lists; digests and lengths are checked."""
     prepare(manifest.sparkSession)
-    tasks = max(1, manifest.count())  # a file each: the manifest's own bytes say nothing of the work
+    tasks = min(MOST_TASKS, max(1, manifest.count()))  # given outright: the manifest's own bytes say nothing of the work
     return manifest.select("root", "file", "n_records", "sha256").repartitionByRange(tasks, "file").mapInArrow(_reader(payloads), READ)
 
 
