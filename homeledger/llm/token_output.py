@@ -11,7 +11,8 @@ File: MAGIC | frequency table | block payloads | zlib(footer) | footer offset u6
 Block: final lane states u64[lanes] | words u32[...] in the order in which a decoder takes them.
 
 Null text is empty and gives the end id alone. Ids of one doc_id are ordered by the text's hash; rows
-with a null doc_id come first. An empty table gives no file.
+with a null doc_id come first. An empty table gives no file. Very long texts are encoded whole and are a block of
+their own. Only doc_id and text are read; other columns, whatever their names, do not travel.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
@@ -35,6 +36,8 @@ MAGIC = b"RANSTOK1"
 END_ID = 2
 FILE_TOKENS, BLOCK_TOKENS, LANES = 1 << 23, 1 << 19, 2048
 LOW = np.uint64(1 << 31)
+#: Tasks that read blocks back, at most.
+MOST_TASKS = 1 << 14
 #: Characters that Python and the tokenizer may not both take as white space.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
 MANIFEST = "part int, no int, file string, block int, offset long, size long, lanes int, n_tokens long, n_docs long, crc long"
@@ -310,23 +313,22 @@ def _writer(root: str, path: str, end_id: int, file_tokens: int):
 def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, root: str | None = None, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Writes the ids of docs in ascending doc_id order; returns the manifest with the first token of each block.
 
-    The manifest has a row a block; its per-file totals (one number a file) are summed up on the driver.
+    The manifest has a row a block. First tokens are prefix sums in two levels: of the tasks' totals (one number a task)
+    on the driver, and of the blocks of each task.
     """
     spark = docs.sparkSession
     prepare(spark)
-    root = root or work_dir(spark, "tokens")
+    root = files.resolved(spark, root or work_dir(spark, "tokens"))
     rows = docs.selectExpr("CAST(doc_id AS bigint) AS doc_id", "text", "xxhash64(text) AS h").repartitionByRange("doc_id", "h")
     rows = rows.sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     manifest = written(rows.mapInArrow(_writer(root, path, end_id, file_tokens), MANIFEST), "manifest")
-    totals = manifest.groupBy("part", "no", "file").agg(F.sum("n_tokens").alias("n")).orderBy("part", "no").collect()
+    totals = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     starts = np.cumsum([0, *(r.n for r in totals)]).tolist()
-    first = spark.createDataFrame([(r.file, s) for r, s in zip(totals, starts, strict=False)], "file string, file_start long")
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    manifest = manifest.select("*", sums("n_tokens").alias("t"), sums("n_docs").alias("first_doc")).join(first, "file")
-    return manifest.select("*", (F.col("file_start") + F.col("t")).alias("start"), F.lit(root).alias("root")).drop("t", "file_start")
+    first = spark.createDataFrame([(r.part, s) for r, s in zip(totals, starts, strict=False)], "part int, part_start long")
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("no", "block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda c, *keys: F.coalesce(F.sum(c).over(before(*keys)), F.lit(0))
+    manifest = manifest.select("*", sums("n_tokens", "part").alias("t"), sums("n_docs", "part", "no").alias("first_doc")).join(F.broadcast(first), "part")  # a row a task
+    return manifest.select("*", (F.col("part_start") + F.col("t")).alias("start"), F.lit(root).alias("root")).drop("t", "part_start")
 
 
 @lru_cache(maxsize=2)
@@ -372,7 +374,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """Per document, from the files: start, n_tokens and the CRC-32 of its ids. Every block decodes alone."""
     prepare(manifest.sparkSession)
-    tasks = max(1, manifest.count() // 4)  # given outright: the manifest's bytes say nothing of the work
+    tasks = min(MOST_TASKS, max(1, manifest.count() // 4))  # given outright: the manifest's bytes say nothing of the work
     return manifest.repartitionByRange(tasks, "file", "block").sortWithinPartitions("file", "block").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
