@@ -2,8 +2,8 @@
 
 Lines are cut at \\n and compared by their words. A line is removed if an earlier line (by doc_id, then
 line number, all over the corpus, judged on the input) has the same words, or is within an edit bound of
-one word inserted, deleted or replaced. The first holds for lines of EXACT_WORDS words or more, the second
-where the longer line has NEAR_WORDS or more; shorter lines stay.
+one word inserted, deleted or replaced. The first holds for lines of EXACT_WORDS words or more, that is all but blank
+ones, the second where the longer line has NEAR_WORDS or more: in a shorter one a word is no small edit.
 
 1. Equal lines meet by a 128-bit hash; partial minima keep the earliest, so a line that a third of the
    documents share is summed up before it moves.
@@ -15,7 +15,8 @@ where the longer line has NEAR_WORDS or more; shorter lines stay.
    tried.
 
 Order of rows: doc_id (nulls last), then the text's hash for rows with the same doc_id; whole repeated rows
-are one document. Null text has one empty line. Every input row keeps one output row.
+are one document. Null text has one empty line. Every input row keeps one output row; an empty table gives none. Very
+long texts are lines like any others. Only doc_id and text are read; other columns do not travel.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-EXACT_WORDS, NEAR_WORDS = 3, 8
+EXACT_WORDS, NEAR_WORDS = 1, 8
 #: Bits of the bitmap of halves that different lines share (16 MB); above a quarter as many, they are joined.
 BITS = 27
 _LAST = (1 << 63) - 1

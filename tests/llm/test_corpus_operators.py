@@ -405,7 +405,7 @@ def line_result(rows):
     for n, (i, t, _) in enumerate(docs):
         for k, line in enumerate((t or "").split("\n")):
             w = tuple(re.findall("[^\x20\x09-\x0d]+", line))
-            if len(w) < 3:
+            if not w:
                 continue
             if w in first:
                 gone.setdefault((i, t), []).append((k, False))
