@@ -2,17 +2,20 @@
 
 Words are runs of letters and marks. A word's emission is the sum of weights of its features: prefixes
 and suffixes of up to AFFIX bytes, character 2- and 3-grams, its lexicon entry (the word itself) and its
-capitalisation, all hashed into 2**BITS rows; a transition matrix is learned with them. Training maximises
+capitalisation, all hashed into at most 2**BITS rows, fewer for many labels, so that the model has at most WEIGHTS numbers (16 MB)
+beside its transition matrix, which is learned with them. Training maximises
 the conditional likelihood by forward-backward and Adagrad over a bounded sample of labelled documents.
 Each word of a training document carries the document's label; a share of the training sequences is spliced
 from documents of two labels, so that transitions learn to switch. Prediction runs forward-backward over
 every word of every text: word marginals label words, and their letter-weighted mean labels the document.
 
-The sample takes SAMPLE_DOCS documents of each label by the hash of doc_id (the documented bound of the
-fit); everything else covers all rows. Text, not lang, source or doc_id, is the input of a prediction.
+The sample takes up to SAMPLE_DOCS documents of each label by the hash of doc_id, SAMPLE_BYTES in equal shares (the
+documented bound of the fit; a label whose first text is longer than its share gives that text's first words);
+everything else covers all rows and whole texts. Every label is learned. Text, not lang, source or doc_id, is the input of a prediction.
 
 Null text or no letter: `und`, score 0, as are all texts if there is nothing to learn from. Repeated rows
-keep one output row each. A null doc_id counts as the empty text for the held-out rule.
+keep one output row each. A null doc_id counts as the empty text for the held-out rule. No rows: no rows. Very long
+texts are a block of their own. Columns of docs travel; those named lang_pred and lang_score are replaced.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import Slices, blocks, prepare, runs, spans_of, table, text_bytes, word_hashes
 
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 6_000_000
-#: At most so many labels are learned: the most frequent ones.
-MOST_LABELS = 400
+#: Numbers of a model at most.
+WEIGHTS = 1 << 22
 BITS, AFFIX, EPOCHS, RATE, SEED = 18, 4, 3, 0.3, 7
 #: Words in one training batch.
 BATCH_WORDS = 6_000
@@ -62,13 +65,18 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return data, starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bits_for(labels: int) -> int:
+    """Bits of feature numbers for so many labels."""
+    return max(4, min(BITS, (WEIGHTS // max(1, labels)).bit_length() - 1))
+
+
+def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of words one after another, and how many each word has; only these words' bytes are hashed."""
     upper, size = (data[starts] >= 65) & (data[starts] <= 90), ends - starts
     data = _LOWER[data[spans_of(size, starts)]]
     ends = np.cumsum(size)
     starts, cut = ends - size, Slices(data)
-    mask = np.uint64((1 << BITS) - 1)
+    mask = np.uint64((1 << bits) - 1)
     kinds = []
     slot = lambda h, kind: ((h ^ np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & mask).astype(np.int32)
     kinds.append(slot(cut.hashes(starts, ends), 1))
@@ -143,6 +151,7 @@ class Model:
 
     def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray):
         self.labels, self.weights, self.trans = labels, weights, trans
+        self.bits = len(weights).bit_length() - 1
 
     def emissions(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return _sums(self.weights[ids], counts).astype(np.float64)
@@ -152,8 +161,9 @@ class Model:
         """rows: (text, label)."""
         labels = sorted({y for _, y in rows})
         k, rng = len(labels), np.random.default_rng(SEED)
-        weights, trans = np.zeros((1 << BITS, k), np.float32), np.zeros((k, k))
-        g_w, g_t = np.full((1 << BITS, k), 1e-2, np.float32), np.full((k, k), 1e-2)
+        bits = bits_for(k)
+        weights, trans = np.zeros((1 << bits, k), np.float32), np.zeros((k, k))
+        g_w, g_t = np.full((1 << bits, k), 1e-2, np.float32), np.full((k, k), 1e-2)
         data, starts, ends, row = words(pa.array([x for x, _ in rows], pa.large_string()))
         y = np.array([labels.index(v) for _, v in rows], np.int64)[row] if len(rows) else np.zeros(0, np.int64)
         cuts = np.searchsorted(row, np.arange(len(rows) + 1))
@@ -173,7 +183,7 @@ class Model:
                     size += len(seqs[hi])
                     hi += 1
                 at, lens = np.concatenate(seqs[lo:hi]), np.array([len(s) for s in seqs[lo:hi]])
-                ids, counts = features(data, starts[at], ends[at])
+                ids, counts = features(data, starts[at], ends[at], bits)
                 marginal, pairs, _ = forward_backward(_sums(weights[ids], counts).astype(np.float64), trans, lens)
                 truth = y[at]
                 grad = -marginal
@@ -183,7 +193,7 @@ class Model:
                 seen = np.zeros((k, k))
                 np.add.at(seen, (truth[:-1][same[1:]], truth[1:][same[1:]]), 1)
                 per = np.repeat(grad.astype(np.float32), counts, axis=0)
-                step = np.stack([np.bincount(ids, per[:, j], 1 << BITS) for j in range(k)], 1).astype(np.float32) / len(at) * 100
+                step = np.stack([np.bincount(ids, per[:, j], 1 << bits) for j in range(k)], 1).astype(np.float32) / len(at) * 100
                 g_w += step * step
                 weights += np.float32(RATE) * step / np.sqrt(g_w)
                 t = (seen - pairs) / len(at) * 100
@@ -205,7 +215,7 @@ def marginals(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, n
         return np.zeros((0, len(model.labels))), starts, ends, row
     upper = ((data[starts] >= 65) & (data[starts] <= 90)).astype(np.uint64)
     first, inverse = _grouped(word_hashes(data, starts, ends) ^ upper)
-    e = model.emissions(*features(data, starts[first], ends[first]))[inverse]
+    e = model.emissions(*features(data, starts[first], ends[first], model.bits))[inverse]
     cut = np.searchsorted(row, np.arange(len(column) + 1))
     return forward_backward(e, model.trans, np.diff(cut))[0], starts, ends, row
 
@@ -237,28 +247,32 @@ def word_spans(model: Model, text: str) -> list[tuple[int, int, str]]:
 HELD_OUT = "pmod(crc32(CAST(coalesce(CAST(doc_id AS string), '') AS binary)), 5) = 0"
 
 
-def training_rows(docs: DataFrame, per_label: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, per_label: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
     """(text, lang) of a bounded sample of the labelled documents that are not held out, by hash of doc_id.
 
-    Only whole texts are taken, as far as a label's equal share of SAMPLE_BYTES goes.
+    Whole texts are taken as far as a label's equal share of sample_bytes goes; of a label without any such text, the
+    first words of its first one.
     """
     use = docs.where(f"NOT ({HELD_OUT}) AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
     order = F.xxhash64("doc_id", F.lit(SEED))
-    seen = use.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LABELS).collect()
+    seen = use.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
     rows: list[tuple[str, str]] = []
     if not seen:
         return rows
     # a hash bound that about twice the sample falls under, then the least hashes: one scan, no sort of the corpus
     part = lambda n: min(1.0, (2.0 * per_label + 100.0) / n)
-    bound = F.create_map(*(x for r in seen for x in (F.lit(r.lang), F.lit(min((1 << 63) - 1, -(1 << 63) + int(part(r.n) * (1 << 64)))))))
-    share = SAMPLE_BYTES // len(seen)
-    few = use.select("lang", "doc_id", order.alias("h"), F.octet_length("text").alias("bytes"), "text").where(F.col("h") <= bound[F.col("lang")]).where(F.col("bytes") <= share)
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "bytes", "text"))
-    left = dict.fromkeys((r.lang for r in seen), share)
-    for x in few.withColumn("nth", nth).where(F.col("nth") <= per_label).orderBy("lang", "nth").select("text", "lang", "bytes").toLocalIterator():
-        if x.bytes <= left[x.lang]:
-            rows.append((x.text, x.lang))
-            left[x.lang] -= x.bytes
+    share = max(1, sample_bytes // len(seen))
+    bounds = docs.sparkSession.createDataFrame([(r.lang, min((1 << 63) - 1, -(1 << 63) + int(part(r.n) * (1 << 64)))) for r in seen], "lang string, bound long")
+    few = use.select("lang", "doc_id", order.alias("h"), F.octet_length("text").alias("bytes"), "text").join(F.broadcast(bounds), "lang").where("h <= bound")
+    own = Window.partitionBy("lang").orderBy("h", "doc_id", "bytes", "text")
+    few = few.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= per_label)
+    fits = F.when(F.col("bytes") <= share, F.col("bytes")).otherwise(0)
+    few = few.withColumn("upto", F.sum(fits).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = few.where(f"bytes <= {share} AND upto <= {share}").select("lang", "nth", "text")
+    lost = few.groupBy("lang").agg(F.min_by(F.substring("text", 1, share), "nth").alias("text"), F.min("bytes").alias("least")).where(f"least > {share}")
+    lost = lost.select("lang", F.lit(0).alias("nth"), F.when(F.contains(F.rtrim("text"), F.lit(" ")), F.regexp_replace("text", "\\s\\S*$", "")).otherwise(F.col("text")).alias("text"))
+    for x in whole.unionByName(lost).orderBy("lang", "nth").select("text", "lang").toLocalIterator():
+        rows.append((x.text, x.lang))
     return rows
 
 
