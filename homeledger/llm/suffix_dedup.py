@@ -10,8 +10,8 @@ that it covers, is a context.
    earliest repeat wholly: partial minima and a join, without a task for a hot passage.
 3. Different contexts with the same anchor repeat in part. Those of the anchors' first contexts that share
    more than the anchor, the anchor as one symbol, are concatenated in blocks; a suffix array gives the order of their strings, equal ones
-   adjacent, and all but the earliest of these repeat. Anchors with more than GROUP contexts are
-   not gathered in a task: their strings are summed up by hash instead.
+   adjacent, and all but the earliest of these repeat. Contexts of an anchor with more than GROUP of them are dealt
+   out over several blocks; the earliest of each block's equal strings are merged by their bytes.
 
 The suffix array is built in two linear phases. First, groups of suffixes that share a Lyndon prefix, from
 groups of one first symbol on, are visited in descending order; pointers to previous smaller suffixes say
@@ -20,7 +20,8 @@ old ones. Then suffixes are emitted in ascending order: each placed suffix place
 that end where it starts, each at the next place of its group. Nothing is renamed or solved recursively.
 
 Null text is empty. Texts under LENGTH bytes stay. Rows of one doc_id are ordered by their text's hash, whole
-repeated rows are one document, null doc_ids come last. Every input row keeps one output row.
+repeated rows are one document, null doc_ids come last. Every input row keeps one output row; an empty table gives
+none. Very long texts are cut into contexts like any others. Only doc_id and text are read; other columns do not travel.
 """
 
 from __future__ import annotations
@@ -199,8 +200,8 @@ def _contexts(bits):
     return contexts
 
 
-def _sorted_block(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-    """(d, t, s, e) of strings of a block of contexts (h, d, t, lo, hi, a, ctx) that occur earlier in it."""
+def _sorted_block(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings of a block of contexts (h, d, t, lo, hi, a, ctx) in their order: d, t, start, context, and whether an equal one comes before."""
     symbols, valid, owner, start = [], [], [], []
     name: dict[int, int] = {}
     for k, (h, _, _, lo, hi, a, ctx) in enumerate(rows):
@@ -222,40 +223,53 @@ def _sorted_block(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
     strings = text[np.array(valid)[order][:, None] + np.arange(width)]
     same = np.concatenate(([False], (strings[1:] == strings[:-1]).all(axis=1)))
     cls = np.cumsum(~same)
-    d, t = (np.array([r[i] for r in rows], np.int64)[np.array(owner)[order]] for i in (1, 2))
+    own = np.array(owner)[order]
+    d, t = (np.array([r[i] for r in rows], np.int64)[own] for i in (1, 2))
     s = np.array(start, np.int64)[order]
     rank = np.lexsort((s, t, d, cls))
     later = np.concatenate(([False], cls[rank][1:] == cls[rank][:-1]))
-    gone = rank[later]
-    yield from zip(d[gone].tolist(), t[gone].tolist(), s[gone].tolist(), strict=True)
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of whole anchors' contexts (rows sorted by h), each by a suffix array."""
-    held: list[tuple] = []
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        found = sorted(_sorted_block(held))
-        out: list[list[int]] = []
-        for d, t, s in found:  # neighbouring strings become one span
-            if out and out[-1][:2] == [d, t] and s <= out[-1][3]:
-                out[-1][3] = s + LENGTH
-            else:
-                out.append([d, t, s, s + LENGTH])
-        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["d", "t", "s", "e"])
+    return d[rank], t[rank], s[rank], own[rank], later
 
-    for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("h", "d", "t", "lo", "hi", "a", "ctx")]
-        for row in zip(*cols, strict=True):
-            if size >= BLOCK and row[0] != held[-1][0]:
-                yield flush()
-                held, size = [], 0
-            held.append(row)
-            size += len(row[6]) - GRAM + 2
-    if held:
-        yield flush()
+
+def _groups(merge: bool):
+    """Blocks of contexts of whole groups (rows sorted by h, part), each by a suffix array; merge: also the earliest of equal strings, with its bytes."""
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            d, t, s, own, later = _sorted_block([r[1:] for r in held])
+            out: list[list] = []
+            for row in sorted(zip(d[later].tolist(), t[later].tolist(), s[later].tolist(), strict=True)):  # neighbouring strings become one span
+                if out and out[-1][:2] == [*row[:2]] and row[2] <= out[-1][3]:
+                    out[-1][3] = row[2] + LENGTH
+                else:
+                    out.append([*row, row[2] + LENGTH, None, None])
+            if merge:
+                first = ~later
+                for x, y, z, k in zip(d[first].tolist(), t[first].tolist(), s[first].tolist(), own[first].tolist(), strict=True):
+                    h, lo, ctx = held[k][1], held[k][4], held[k][7]
+                    out.append([x, y, z, z + LENGTH, h, ctx[z - lo : z - lo + LENGTH]])
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["d", "t", "s", "e", "h", "w"])
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("part", "h", "d", "t", "lo", "hi", "a", "ctx")]
+            for row in zip(*cols, strict=True):
+                if size >= BLOCK and row[:2] != held[-1][:2]:
+                    yield flush()
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[7]) - GRAM + 2
+        if held:
+            yield flush()
+
+    return groups
+
+
+SPANS = "d long, t long, s int, e int, h long, w binary"
 
 
 def _promising(part: DataFrame) -> DataFrame:
@@ -308,19 +322,23 @@ def repeats(texts: DataFrame) -> DataFrame:
         own = with_bit(own, key, bitmap(part.select(key.alias("k")), "k", MARK_BITS), MARK_BITS, "may").where("may").drop("may")
     part = written(own.join(part, ["h", "d", "t", "lo"]).dropDuplicates(["h", "d", "t", "lo"]), "contexts-split")  # repeated rows
     part = written(_promising(part), "contexts-promising")
-    often = written(part.groupBy("h").agg(F.count("*").alias("many")).where(f"many > {GROUP}").select("h"), "anchors-hot")
+    often = written(part.groupBy("h").agg(F.count("*").alias("many")).where(f"many > {GROUP}"), "anchors-hot")
     crowded = often.count() > 0
-    few = (part.join(often, "h", "left_anti") if crowded else part).select("h", "d", "t", "lo", "hi", "a", "ctx")
+    few = part.join(often.select("h"), "h", "left_anti") if crowded else part
+    context = ("h", "d", "t", "lo", "hi", "a", "ctx")
     tasks = max(1, -(-part.count() // 4000))  # given outright: sorting costs more than its bytes say
-    few = few.repartition(tasks, "h").sortWithinPartitions("h").mapInArrow(_groups, "d long, t long, s int, e int")
+    few = few.select(F.lit(0).alias("part"), *context).repartition(tasks, "h").sortWithinPartitions("h")
+    few = few.mapInArrow(_groups(merge=False), SPANS).select("d", "t", "s", "e")
     if not crowded:
         return whole.unionByName(few)
 
-    hot = part.join(often, "h").select("h", "d", "t", F.posexplode(F.sequence("lo", "hi")).alias("j", "s"), "ctx")
-    hot = hot.select("h", F.xxhash64(F.expr(f"substring(ctx, j + 1, {LENGTH})")).alias("w"), F.struct("d", "t", "s").alias("p"))
-    earliest = hot.groupBy("h", "w").agg(F.min("p").alias("f"), F.count("*").alias("n")).where("n > 1").select("h", "w", "f")
-    hot = hot.join(earliest, ["h", "w"]).where("p <> f").selectExpr("p.d", "p.t", "p.s", f"p.s + {LENGTH} AS e")
-    return whole.unionByName(few).unionByName(hot)
+    # anchors of many contexts: blocks of about GROUP contexts, the earliest strings of all blocks merged
+    hot = part.join(often, "h").withColumn("part", F.expr(f"CAST(pmod(xxhash64(ctx), ceil(many / {GROUP})) AS int)")).select("part", *context)
+    hot = written(hot.repartition(tasks, "h", "part").sortWithinPartitions("h", "part").mapInArrow(_groups(merge=True), SPANS), "contexts-hot")
+    led = hot.where("w IS NOT NULL").select("h", "w", F.struct("d", "t", "s").alias("p"))
+    earliest = led.groupBy("h", "w").agg(F.min("p").alias("f"), F.count("*").alias("n")).where("n > 1").select("h", "w", "f")
+    led = led.join(earliest, ["h", "w"]).where("p <> f").selectExpr("p.d", "p.t", "p.s", f"p.s + {LENGTH} AS e")
+    return whole.unionByName(few).unionByName(hot.where("w IS NULL").select("d", "t", "s", "e")).unionByName(led)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
