@@ -12,11 +12,12 @@ that share 0.8 of their shingles differ in about 10 bits. `near_copies` is the o
 near_copies links texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. In any fixed order
 of shingles two such sets share one among the first n - ceil(0.8 n) + 1 of each, n being the set's own size, so
 fingerprints are dealt out by these shingles and none is lost. Inside a shingle's group tiles of fingerprints
-are compared as above, at a radius of WIDE bits, and pairs of texts of fitting sizes are candidates. They are verified
-on their whole sets. At a similarity of exactly 0.8 a fingerprint differs in 9.7 bits on average (standard
-deviation 2.9), more than WIDE with a chance of some 3 in a million; sets under SMALL shingles are not held to the
-radius. Candidates come in two rounds: each text with the first candidate before it in a group, then, of the
-components found, only pairs across components; so a group of near copies costs its size, not its square.
+are compared as above, at a radius of WIDE bits, and pairs of texts of fitting sizes are candidates. They are united as
+they are found; of a group of texts that candidates connect, each text is brought once to the group's task, and
+its pairs are verified there on their whole sets. A group of more than TILE_BYTES is dealt out by pairs of tiles. So no
+pair is ever a row, and a group of near copies moves its size, not its square. At a similarity of exactly 0.8 a
+fingerprint differs in 9.7 bits on average (standard deviation 2.9), more than WIDE with a chance of some 3 in a
+million; sets under SMALL shingles are not held to the radius.
 
 Nulls and empty texts have no words: fingerprint zero, linked like any other (near_copies: one group). Repeated rows
 keep one output row each. A null doc_id gets a component of its group if the group has any id, else null. Very long
@@ -196,9 +197,8 @@ WIDE, SMALL = 24, 16
 #: About so many texts are looked through for repeated shingles; SEEN of them make a shingle frequent, MOST are listed.
 #: Frequent shingles come last in the order: this saves work and changes no result.
 SAMPLE, SEEN, MOST = 8_000, 3, 100_000
-#: The SKETCH least hashes of a set. Of the SKETCH least of two sets at a similarity of 0.8 some 51 are shared, under LEAST with
-#: a chance of 1 in ten million: pairs below are set aside before whole sets are moved.
-SKETCH, LEAST = 64, 34
+#: Texts that meet in a task, and nodes that are broadcast, at most.
+TILE_BYTES, FEW_NODES = 4 << 20, 500_000
 
 
 def shingles(text: bytes, width: int = COPY_WORDS) -> np.ndarray:
@@ -261,8 +261,8 @@ def _prefixes(frequent: np.ndarray):
             n = np.array([len(x) for x in made], np.int32)
             node = np.where(n > 0, batch.column("node").to_numpy(zero_copy_only=False), 0)
             fp = np.array([_majority(x) if len(x) else 0 for x in made], np.int64)
-            cols = [batch.column("doc_id").cast(pa.int64()), batch.column("node"), pa.array(node), pa.array(n), pa.array(fp), _lists([first(x) for x in made]), _lists([x[:SKETCH] for x in made])]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "node", "n", "fp", "xs", "sk"])
+            cols = [batch.column("doc_id").cast(pa.int64()), batch.column("node"), pa.array(node), pa.array(n), pa.array(fp), _lists([first(x) for x in made])]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "node", "n", "fp", "xs"])
 
     return prefixes
 
@@ -289,56 +289,84 @@ def _candidates(fp_a, n_a, fp_b, n_b, radius: int, small: int) -> np.ndarray:
     return near & (n_a * UNDER >= n_b * OVER) & (n_b * UNDER >= n_a * OVER)
 
 
-def _first_candidates(radius: int, small: int):
-    """Of rows (grp, x, fp, n, node) sorted by grp those whose grp has others, each with the first candidate before it."""
+def _connected(radius: int, small: int):
+    """A spanning forest (u, v) of the candidate pairs of each group, of rows (grp, fp, n, node) sorted by grp."""
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grp, x, fp, n, node in _whole_groups(batches, ("grp", "x", "fp", "n", "node")):
-            bits, n = fp.view(np.uint64), n.astype(np.int64)
+    def connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grp, fp, n, node in _whole_groups(batches, ("grp", "fp", "n", "node")):
+            bits, n, label = fp.view(np.uint64), n.astype(np.int64), np.arange(len(grp))
             new = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1], [True])))
-            sizes, leader = np.diff(new), np.arange(len(x))
-            many = np.repeat(sizes, sizes)
-            for step in range(min(48, int(sizes.max())) - 1, 0, -1):  # small groups, all at once; the farthest is the first
+            sizes = np.diff(new)
+            many, links = np.repeat(sizes, sizes), []
+            for step in range(1, min(48, int(sizes.max()))):  # small groups, all at once
                 at = np.flatnonzero((many[:-step] <= 48) & (grp[step:] == grp[:-step]))
                 at = at[_candidates(bits[at], n[at], bits[at + step], n[at + step], radius, small)]
-                known = leader[at + step] != at + step
-                leader[at[~known] + step] = at[~known]
+                links.append((at, at + step))
+            if links:
+                label = _unite(label, *map(np.concatenate, zip(*links, strict=True)))
             for lo, hi in zip(new[:-1][sizes > 48].tolist(), new[1:][sizes > 48].tolist(), strict=True):
-                for b in range(lo, hi, TILE):
-                    b_end, open_ = min(b + TILE, hi), np.arange(b, min(b + TILE, hi))
-                    for a in range(lo, b_end, TILE):
-                        a_end = min(a + TILE, hi)
-                        ok = _candidates(bits[open_, None], n[open_, None], bits[None, a:a_end], n[None, a:a_end], radius, small) & (np.arange(a, a_end)[None, :] < open_[:, None])
-                        found = ok.any(axis=1)
-                        leader[open_[found]] = a + ok[found].argmax(axis=1)
-                        open_ = open_[~found]
-                        if not len(open_):
-                            break
-            keep = many > 1
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (x, fp, n.astype(np.int32), node, node[leader])], ["x", "fp", "n", "node", "leader"])
-
-    return first
-
-
-def _across(radius: int, small: int):
-    """Candidate pairs (u, v) of different components c, of rows (grp, c, fp, n, node) sorted by grp."""
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grp, c, fp, n, node in _whole_groups(batches, ("grp", "c", "fp", "n", "node")):
-            bits, n = fp.view(np.uint64), n.astype(np.int64)
-            new = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1], [True])))
-            for lo, hi in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
+                own = np.arange(hi - lo)
                 for a in range(lo, hi, TILE):
                     a_end = min(a + TILE, hi)
                     for b in range(a, hi, TILE):
                         b_end = min(b + TILE, hi)
-                        ok = _candidates(bits[a:a_end, None], n[a:a_end, None], bits[None, b:b_end], n[None, b:b_end], radius, small) & (c[a:a_end, None] != c[None, b:b_end])
-                        i, j = np.nonzero(np.triu(ok, 1) if a == b else ok)
-                        if len(i):
-                            u, v = node[a + i], node[b + j]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+                        ok = _candidates(bits[a:a_end, None], n[a:a_end, None], bits[None, b:b_end], n[None, b:b_end], radius, small)
+                        ok &= own[a - lo : a_end - lo, None] != own[None, b - lo : b_end - lo]
+                        x, y = np.nonzero(ok)
+                        own = _unite(own, x + (a - lo), y + (b - lo)) if len(x) else own
+                label[lo:hi] = own + lo
+            at = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[label[at]])], ["u", "v"])
+
+    return connected
+
+
+def similar(sets: list[np.ndarray], radius: int, small: int) -> np.ndarray:
+    """For each set the first one that it reaches over pairs of the similarity; only pairs not yet united are counted out."""
+    size = np.array([len(x) for x in sets], np.int64)
+    bits = np.array([_majority(x) if len(x) else 0 for x in sets], np.int64).view(np.uint64)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends, label = np.cumsum(size), np.arange(len(sets))
+    held = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    for i in range(len(sets) - 1):
+        js = i + 1 + np.flatnonzero(_candidates(bits[i], size[i], bits[i + 1 :], size[i + 1 :], radius, small) & (label[i + 1 :] != label[i]))
+        if not len(js):
+            continue
+        own = ids[ends[i] - size[i] : ends[i]]
+        held[own] = True
+        common = np.add.reduceat(held[ids[spans_of(size[js], ends[js] - size[js])]], np.cumsum(size[js]) - size[js], dtype=np.int64)
+        held[own] = False
+        js = js[common * (OVER + UNDER) >= (size[i] + size[js]) * OVER]
+        if len(js):
+            old = np.unique(label[np.append(js, i)])
+            label[np.isin(label, old)] = old[0]
+    return label
+
+
+def _alike(radius: int, small: int):
+    """A spanning forest (u, v) of the similar pairs of each group, of rows (grp, node, text) sorted by grp."""
 
-    return across
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp, nodes, sets = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            label, node = similar(sets, radius, small), np.array(nodes, np.int64)
+            at = np.flatnonzero(label != np.arange(len(label)))
+            return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[label[at]])], ["u", "v"])
+
+        for batch in batches:
+            for block in blocks([batch], "text"):
+                for g, node, xs in zip(block.column("grp").to_pylist(), block.column("node").to_pylist(), _made(block), strict=True):
+                    if g != grp:
+                        if len(nodes) > 1:
+                            yield flush()
+                        grp, nodes, sets = g, [], []
+                    nodes.append(node)
+                    sets.append(xs)
+        if len(nodes) > 1:
+            yield flush()
+
+    return alike
 
 
 def _frequent(docs: DataFrame, rows: int) -> np.ndarray:
@@ -350,49 +378,25 @@ def _frequent(docs: DataFrame, rows: int) -> np.ndarray:
     return got[::-1].copy()
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) whose sketches a, b share enough of the least hashes of both."""
-    top = np.iinfo(np.int64).max
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            both = np.full((part.num_rows, 2 * SKETCH), top)
-            for c, lo in (("a", 0), ("b", SKETCH)):
-                many = part.column(c).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                at_row = np.repeat(np.arange(part.num_rows), many)
-                both[at_row, lo + spans_of(many, np.zeros(len(many), np.int64))] = part.column(c).flatten().to_numpy(zero_copy_only=False)
-            both.sort(axis=1)
-            twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != top)
-            nth = np.arange(1, 2 * SKETCH) + 1 - np.cumsum(twice, axis=1)  # distinct hashes up to there
-            shared = (twice & (nth <= SKETCH)).sum(axis=1)
-            size = np.minimum(SKETCH, (both != top).sum(axis=1) - twice.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(shared * SKETCH >= LEAST * size)) for c in ("u", "v")], ["u", "v"])
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (u, v) of nodes whose shingle sets are similar; sketches: (node, sk)."""
-    pairs = pairs.distinct().join(sketches.selectExpr("node AS u", "sk AS a"), "u").join(sketches.selectExpr("node AS v", "sk AS b"), "v")
-    pairs = written(pairs.mapInArrow(_alike, "u long, v long"), "copies-pairs")
-    nodes = pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "node")
-    rows = docs.select("text", F.xxhash64("text").alias("node")).join(nodes, "node", "left_semi")
-    sets = written(rows.mapInArrow(_sets, "node long, xs array<long>").dropDuplicates(["node"]), "copies-sets")
-    both = pairs.join(sets.selectExpr("node AS u", "xs AS a"), "u").join(sets.selectExpr("node AS v", "xs AS b"), "v")
-    same = F.size(F.array_intersect("a", "b"))
-    return both.where(same * (OVER + UNDER) >= (F.size("a") + F.size("b")) * OVER).select("u", "v")
-
-
 def _dealt(rows: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """rows (with x, node) dealt out and sorted by grp: x, or, where x is in hot (x, tiles), x and a pair of sub-tiles."""
+    """rows (with key, node) dealt out and sorted by grp: the key, or, where it is in hot (key, tiles), the key and a pair of sub-tiles."""
     if hot is not None:
-        own = F.expr("CAST(pmod(node, tiles) AS int)")
+        own = F.expr("CAST(pmod(xxhash64(node), tiles) AS int)")
         pair = F.explode(F.expr("CASE WHEN tiles IS NULL THEN array(-1) ELSE transform(sequence(0, tiles - 1), j -> least(own, j) * tiles + greatest(own, j)) END"))
-        rows = rows.join(hot, "x", "left").withColumn("own", own).withColumn("tile", pair).withColumn(key, F.xxhash64("x", "tile")).drop("own", "tile", "tiles")
+        rows = rows.join(hot, key, "left").withColumn("own", own).withColumn("tile", pair).withColumn("grp", F.xxhash64(key, "tile")).drop("own", "tile", "tiles")
     else:
-        rows = rows.withColumn(key, F.col("x"))
-    return rows.repartition(key).sortWithinPartitions(key, "node")
+        rows = rows.withColumn("grp", F.col(key))
+    return rows.repartition("grp").sortWithinPartitions("grp", "node")
+
+
+def _crowded(rows: DataFrame, key: str, size: str, most: int, name: str) -> DataFrame | None:
+    """(key, tiles) of the keys whose rows are more than most in all, tiles of half as much; None if there are none."""
+    many = rows.groupBy(key).agg(F.expr(size).alias("_n")).where(F.col("_n") > most).selectExpr(key, f"CAST(ceil(_n / {most / 2}) AS int) AS tiles")
+    many = written(many, name)
+    return None if many.isEmpty() else many
 
 
-def near_copies(docs: DataFrame, radius: int = WIDE, small: int = SMALL, group_rows: int = GROUP_ROWS) -> DataFrame:
+def near_copies(docs: DataFrame, radius: int = WIDE, small: int = SMALL, group_rows: int = GROUP_ROWS, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """(doc_id, h, component_id, first) for each row of docs (doc_id, text).
 
     component_id is the least doc_id of its near copies, h the text's hash; first: the row is the one of its
@@ -401,24 +405,18 @@ def near_copies(docs: DataFrame, radius: int = WIDE, small: int = SMALL, group_r
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     n = docs.count()
-    made = docs.withColumn("node", F.xxhash64("text")).mapInArrow(_prefixes(_frequent(docs, n)), "doc_id long, h long, node long, n int, fp long, xs array<long>, sk array<long>")
+    made = docs.withColumn("node", F.xxhash64("text")).mapInArrow(_prefixes(_frequent(docs, n)), "doc_id long, h long, node long, n int, fp long, xs array<long>")
     made = written(made, "copies-prefixes")
-    sketches = made.where("n > 0").select("node", "sk").dropDuplicates(["node"])
-    rows, hot = made.where("n > 0").dropDuplicates(["node"]).select("fp", "n", "node", F.explode("xs").alias("x")), None
-    if n > group_rows:  # shingles of so many texts are dealt out by pairs of sub-tiles
-        many = rows.groupBy("x").count().where(F.col("count") > group_rows).selectExpr("x", f"CAST(ceil(count / {group_rows / 2}) AS int) AS tiles")
-        many = written(many, "copies-hot")
-        hot = None if many.isEmpty() else many
-    schema = "x long, fp long, n int, node long, leader long"
-    shared = written(_dealt(rows, "grp", hot).mapInArrow(_first_candidates(radius, small), schema), "copies-shared")
-    links = written(_verified(docs, shared.where("node <> leader").selectExpr("least(node, leader) AS u", "greatest(node, leader) AS v"), sketches), "copies-links")
-    joined = written(connected_components(links, "copies-components"), "copies-named")
-    apart = shared.select("x", "fp", "n", "node").distinct() if hot is not None else shared.drop("leader")
-    apart = apart.join(joined, "node", "left").select("x", F.coalesce("component", "node").alias("c"), "fp", "n", "node")
-    mixed = apart.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("x")
-    apart = _dealt(apart.join(mixed, "x", "left_semi"), "grp", hot)
-    more = _verified(docs, apart.mapInArrow(_across(radius, small), "u long, v long"), sketches)
-    joined = connected_components(links.unionByName(more), "copies-components")
+    rows = made.where("n > 0").dropDuplicates(["node"]).select("fp", "n", "node", F.explode("xs").alias("x"))
+    hot = _crowded(rows, "x", "count(*)", group_rows, "copies-hot") if n > group_rows else None
+    links = _dealt(rows, "x", hot).mapInArrow(_connected(radius, small), "u long, v long")
+    groups = written(connected_components(links, "copies-candidates").selectExpr("node", "component AS c"), "copies-groups")
+    few = F.broadcast(groups) if groups.count() <= FEW_NODES else groups  # 16 bytes a node
+    texts = docs.select(F.xxhash64("text").alias("node"), "text").join(few, "node").dropDuplicates(["node"])
+    texts = written(texts, "copies-texts")
+    hot = _crowded(texts, "c", "sum(octet_length(text))", tile_bytes, "copies-crowded")
+    links = _dealt(texts, "c", hot).select("grp", "node", "text").mapInArrow(_alike(radius, small), "u long, v long")
+    joined = connected_components(links, "copies-components")
     named = made.select("doc_id", "h", "node").join(joined, "node", "left").select("doc_id", "h", F.coalesce("component", "node").alias("c"))
     named = written(named, "copies-rows")
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("least"))

@@ -46,7 +46,7 @@ def test_near_copies(spark, monkeypatch, seen, rows):
     texts = corpus()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = brute(texts)
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs, group_rows=rows).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs, group_rows=rows, tile_bytes=rows * 100).collect()}
     assert [got[i] for i in range(len(texts))] == want
     assert len(set(want)) < len({t for t in texts if t})
 
