@@ -4,9 +4,12 @@ A listing is compared with the other comparable ones (active, not of critical ri
 four levels: same district, size band and rooms with the same series; with the same private rooms; district
 alone; whole city. The first level with enough listings gives the baseline, else the city at any size.
 
-The three district levels come from one equi-join on district and a logarithmic area bucket (an area ratio in
-0.8..1.2 spans at most one bucket), with the band as residual, and one grouped pass of exact medians. The city
-level needs no join: leave-one-out medians from the middle order statistics.
+The three district levels ask the same of all listings of equal district, area, rooms and series, so samples are taken
+once for each such key, with the listing itself in them: one equi-join on district and a logarithmic area bucket
+(an area ratio in 0.8..1.2 spans at most one bucket), with the band as residual. Of a sorted sample only its size and
+the four values in the middle go on: they give the median without any one of its values. So pairs grow with
+keys, which are few beside listings, and no listing is paired with another. The city level needs no join at all:
+leave-one-out medians from the middle order statistics.
 """
 
 from __future__ import annotations
@@ -53,34 +56,63 @@ def _bucket(area: Column) -> Column:
     return F.floor(F.log(area) / BUCKET).cast("int")
 
 
+#: What a listing's district samples depend on.
+KEY = ("district", "area_m2", "declared_rooms", "private_rooms", "series")
+
+
+def _middle(sample: Column) -> Column:
+    """struct(n, first, mid): size of a sample and its up to four values in the middle, the first of them by rank from 1."""
+    n = F.size(sample)
+    first = F.greatest(F.lit(1), F.floor((n - 1) / 2).cast("int"))
+    return F.struct(n.alias("n"), first.alias("first"), F.slice(F.sort_array(sample), first, F.lit(4)).alias("mid"))
+
+
+def _without(m: str, member: Column, own: Column) -> tuple[Column, Column]:
+    """(size, median) of a sample given by _middle, without the own value if it is a member."""
+    n = F.coalesce(F.col(f"{m}.n"), F.lit(0))
+    at = lambda k: F.try_element_at(f"{m}.mid", (k - F.col(f"{m}.first") + 1).cast("int"))
+    left = lambda k: F.when(at(k) < own, at(k)).otherwise(at(k + 1))
+    half = lambda k: F.floor(k / 2).cast("int")
+
+    def median(pick, size: Column) -> Column:
+        return F.when(size <= 0, None).when(size % 2 == 1, pick(half(size + 1))).otherwise((pick(half(size)) + pick(half(size) + 1)) / 2)
+
+    return n - member.cast("int"), F.when(member, median(left, n - 1)).otherwise(median(at, n))
+
+
 def level_medians(listings: DataFrame) -> DataFrame:
-    """(listing_id, n and median of series, ai and district level) for listings with any neighbour.
+    """(listing_id, n and median of series, ai and district level) for listings with a district.
 
     A missing or zero area or room count on either side puts no bound on the other; such areas meet every bucket
     through a key of their own.
     """
-    known = F.col("area_m2") > 0
-    rows = with_prices(listings).where(nulls.filled("district").isNotNull())
-    t = rows.select("listing_id", "district", "area_m2", "declared_rooms", "private_rooms", "series", known.alias("known"))
-    other = candidates(listings).where(nulls.filled("district").isNotNull()).select(
-        F.col("listing_id").alias("o_id"), "district", F.col("area_m2").alias("o_area"), F.col("declared_rooms").alias("o_rooms"),
-        F.col("private_rooms").alias("o_private"), F.col("series").alias("o_series"), F.col("ppm2").alias("o_ppm2"),
+    rows = with_prices(listings).where(nulls.filled("district").isNotNull()).withColumn("normal", comparable())
+    key = rows.select(*KEY).distinct()
+    known = F.coalesce(F.col("area_m2") > 0, F.lit(False))
+    # comparables always have a positive area (their EUR/m2 is known); keys may lack one
+    key = key.withColumn("b", F.explode(F.when(known, F.array(*(_bucket(F.col("area_m2")) + d for d in (-1, 0, 1)))).otherwise(F.array(F.lit(None).cast("int")))))
+    other = rows.where("normal").select(
+        F.col("district").alias("o_district"), F.col("area_m2").alias("o_area"), F.col("declared_rooms").alias("o_rooms"), F.col("private_rooms").alias("o_private"), F.col("series").alias("o_series"), F.col("ppm2").alias("o_ppm2"),
     )
-    # comparables always have a positive area (their EUR/m2 is known); targets may lack one
-    t = t.withColumn("b", F.explode(F.when(F.coalesce("known", F.lit(False)), F.array(*(_bucket(F.col("area_m2")) + d for d in (-1, 0, 1)))).otherwise(F.array(F.lit(None).cast("int")))))
-    banded, free = t.where("b IS NOT NULL"), t.where("b IS NULL").drop("b")
+    same = F.col("district") == F.col("o_district")
     rooms = (F.coalesce("declared_rooms", F.lit(0)) == 0) | (F.coalesce("o_rooms", F.lit(0)) == 0) | (F.abs(F.col("o_rooms") - F.col("declared_rooms")) <= 1)
     band = (F.col("o_area") / F.col("area_m2")).between(0.8, 1.2)
-    pairs = banded.join(other.withColumn("b", _bucket(F.col("o_area"))), ["district", "b"]).where(band & rooms).drop("b")
-    pairs = pairs.unionByName(free.join(other, "district").where(rooms)).where("o_id <> listing_id")
+    pairs = key.where("b IS NOT NULL").join(other.withColumn("o_b", _bucket(F.col("o_area"))), same & (F.col("b") == F.col("o_b")) & band & rooms).drop("o_b")
+    pairs = pairs.unionByName(key.where("b IS NULL").join(other, same & rooms))
     same_private = nulls.require(F.col("o_private") == F.col("private_rooms"))
     same_series = nulls.require((nulls.filled("series").isNotNull()) & (F.col("o_series") == F.col("series")))
-    sample = lambda c: F.when(c, F.col("o_ppm2"))
-    return pairs.groupBy("listing_id").agg(
-        F.count_if(same_series).alias("series_n"), F.median(sample(same_series)).alias("series_median"),
-        F.count_if(same_private).alias("ai_n"), F.median(sample(same_private)).alias("ai_median"),
-        F.count("*").alias("district_n"), F.median("o_ppm2").alias("district_median"),
-    )
+    sample = lambda c: F.collect_list(F.when(c, F.col("o_ppm2")))
+    taken = pairs.groupBy(*KEY).agg(sample(same_series).alias("s"), sample(same_private).alias("p"), F.collect_list("o_ppm2").alias("d"))
+    taken = taken.select(*(F.col(c).alias(f"k_{c}") for c in KEY), _middle(F.col("s")).alias("s"), _middle(F.col("p")).alias("p"), _middle(F.col("d")).alias("d"))
+    on = F.lit(True)
+    for c in KEY:
+        on = on & F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    rows = rows.select("listing_id", *KEY, "ppm2", "normal").join(taken, on, "left")
+    member, out = F.col("normal"), []
+    for level, m, own in (("series", "s", member & nulls.require(nulls.filled("series").isNotNull())), ("ai", "p", member & F.col("private_rooms").isNotNull()), ("district", "d", member)):
+        n, median = _without(m, own, F.col("ppm2"))
+        out += [n.alias(f"{level}_n"), median.alias(f"{level}_median")]
+    return rows.select("listing_id", *out)
 
 
 def baselines(listings: DataFrame, least: int = MIN_SAMPLE) -> DataFrame:

@@ -2,7 +2,8 @@
 
 One aggregate counts the rows and brackets each wanted rank by approximate percentiles; a second one counts
 what lies below the bracket and takes the values inside it. A bracket that still holds too many values is
-narrowed again, so no task and no driver ever holds more than MOST values.
+narrowed again; one that percentiles narrow no further is halved by value, a rank at a time, until it holds few
+values or a single one. So no task and no driver ever holds more than MOST values.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def order_statistics(df: DataFrame, value: Column, ranks: list[int], n: int) ->
         q = part.agg(F.percentile_approx("v", [max(0.0, lo - 1e-3), min(1.0, hi + 1e-3)], 5000).alias("q")).first().q
         got = rows.agg(F.count_if(F.col("v") < q[0]).alias("b"), F.count_if((F.col("v") >= q[0]) & (F.col("v") <= q[1])).alias("c")).first()
         if got.c >= inside or not got.b < min(ranks) or not max(ranks) <= got.b + got.c:
-            break
+            return {k: _halved(rows, k, low, high, below, inside) for k in sorted(set(ranks))}
         low, high, below, inside = q[0], q[1], got.b, got.c
     counted = rows.where((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").count().orderBy("v")
     out, seen, left = {}, below, sorted(set(ranks))
@@ -40,6 +41,28 @@ def order_statistics(df: DataFrame, value: Column, ranks: list[int], n: int) ->
     return out
 
 
+def _halved(rows: DataFrame, rank: int, low: float, high: float, below: int, inside: int) -> float:
+    """The value of one rank in a bracket, by halving it; below: how many values lie under it."""
+    ends = rows.where((F.col("v") >= low) & (F.col("v") <= high)).agg(F.min("v").alias("a"), F.max("v").alias("z")).first()
+    low, high = ends.a, ends.z
+    while low < high and inside > MOST:
+        mid = low / 2 + high / 2
+        mid = mid if low <= mid < high else low
+        got = rows.where((F.col("v") >= low) & (F.col("v") <= high)).agg(F.count_if(F.col("v") <= mid).alias("n"), F.max(F.when(F.col("v") <= mid, F.col("v"))).alias("z"), F.min(F.when(F.col("v") > mid, F.col("v"))).alias("a")).first()
+        if rank <= below + got.n:
+            high, inside = got.z, got.n
+        else:
+            low, below, inside = got.a, below + got.n, inside - got.n
+    if low == high:
+        return low
+    counted = rows.where((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").count().orderBy("v").collect()  # at most MOST values
+    for r in counted:
+        below += r["count"]
+        if rank <= below:
+            return r.v
+    raise ValueError("no value has this rank")
+
+
 def order_statistics_of(df: DataFrame, wanted: dict[str, tuple[Column, list[int], int]]) -> dict[str, dict[int, float]]:
     """The same for several values, by name; those of at most MOST rows come from one aggregate together."""
     small = {k: v for k, v in wanted.items() if v[2] <= MOST and v[1]}

@@ -35,11 +35,14 @@ def top(df: DataFrame, n: int, order: list[Column] | None = None) -> DataFrame:
 def positions(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """All rows with their position, by a range sort: each partition numbers its rows after those before it.
 
-    The counts of partitions, one number each, meet in one task; the rows do not. The sorted rows are kept on
-    executors' disks, so that counts and rows come from the same ranges.
+    The counts of partitions, one number each, meet in one task; the rows do not. The sorted rows are written once,
+    so that counts and rows come from the same ranges: to the shared checkpoint folder, which outlives lost executors and
+    is cleaned with the frame; without one (a session of a single process) they are kept on its disk.
     """
     order = order or ranking_order()
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(1 << 33)).persist(StorageLevel.DISK_ONLY)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % F.lit(1 << 33))
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir()
+    ranged = ranged.checkpoint() if shared else ranged.persist(StorageLevel.DISK_ONLY)
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return ranged.join(F.broadcast(before), "_p").withColumn("position", (F.col("_before") + F.col("_i") + 1).cast("int")).drop("_p", "_i", "_before")
@@ -48,7 +51,7 @@ def positions(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
 def ranked(df: DataFrame, spec: FilterSpec = FilterSpec(), n: int | None = None) -> DataFrame:
     rows = apply(df, spec)
     order = ranking_order()
-    return top(rows, n, order) if n is not None else rows.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    return top(rows, n, order) if n is not None else positions(rows, order)
 
 
 def summary(shown: DataFrame, total: int | Column) -> DataFrame:
@@ -91,4 +94,4 @@ def ordered_unique(*queues: DataFrame, key: str = "listing_id") -> DataFrame:
     for i, q in enumerate(queues):
         part = q.select(key, F.struct(F.lit(i).alias("q"), F.col("pos").cast("long").alias("p")).alias("at"))
         rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy(key).agg(F.min("at").alias("at")).withColumn("position", F.row_number().over(Window.orderBy("at", key))).drop("at")
+    return positions(rows.groupBy(key).agg(F.min("at").alias("at")), [F.col("at").asc(), F.col(key).asc()]).drop("at")

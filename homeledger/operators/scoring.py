@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..functions.text import profile_slug
 from . import market
+from .order_stats import order_statistics
 
 #: Blocks and importance levels.
 BLOCKS = (
@@ -47,8 +48,12 @@ def custom_weights(raw: DataFrame) -> DataFrame:
 
 
 def median_area(listings: DataFrame) -> float | None:
-    """Exact median of positive areas of active listings; areas have few distinct values, which partial sums count."""
-    return listings.where("status = 'active' AND area_m2 > 0").agg(F.median("area_m2")).first()[0]
+    """Exact median of positive areas of active listings, from the order statistics in the middle."""
+    rows = listings.where("status = 'active' AND area_m2 > 0")
+    n = rows.count()
+    ranks = sorted({(n + 1) // 2, n // 2 + 1})
+    found = order_statistics(rows, F.col("area_m2"), ranks, n) if n else {}
+    return sum(found[k] for k in ranks) / len(ranks) if found else None
 
 
 def block_columns(area: float | None) -> dict[str, Column]:
