@@ -174,5 +174,27 @@ def profile_slug(c: str | Column) -> Column:
     return F.when(body == "", F.lit("custom_profile")).otherwise(F.concat(F.lit("custom_"), body))
 
 
+def date_part(c: str | Column) -> Column:
+    """The date of an ISO time as text."""
+    return F.substring_index(col(c), "T", 1)
+
+
+def exact_round(c: str | Column, digits: int = 0) -> Column:
+    """Rounded halves to even, on the number's shortest decimal form; SQL's round() has halves up."""
+    return F.bround(col(c).cast("decimal(38,18)"), digits).cast("double")
+
+
+def translated(c: str | Column, language: str | Column, table: dict[str, dict[str, str]], names: dict[str, str] | None = None, default: str = "en") -> Column:
+    """Text of an id in a language, else in the default one, else as it is; names: ids by an older name (the default's own text).
+
+    table: {language: {id: text}}, a bounded resource that becomes a literal map.
+    """
+    flat = F.create_map(*(F.lit(x) for lang, texts in table.items() for k, v in texts.items() for x in (f"{lang}/{k}", v)))
+    alias = F.create_map(*(F.lit(x) for kv in (names or {"": ""}).items() for x in kv))
+    key = F.coalesce(F.try_element_at(alias, col(c)), col(c))
+    said = lambda lang: F.try_element_at(flat, F.concat(lang, F.lit("/"), key))
+    return F.coalesce(said(col(language) if isinstance(language, Column) else F.lit(language)), said(F.lit(default)), col(c))
+
+
 def lines(*items: Column) -> Column:
     return compact(*items)

@@ -201,10 +201,10 @@ def test_analysis(spark):
     ok = json.dumps({"images": [{"image_id": "1", "category": "kitchen", "likely_room_group": "r"}], "floor_plan_image_ids": [" 1 ", ""]})
     bad = json.dumps({"images": [{"image_id": "1", "category": "cellar"}]})
     rows = analysis.validated_pass1(spark.createDataFrame([(1, ok), (2, bad), (3, "[]"), (4, "{")], "listing_id long, raw string")).orderBy("listing_id").collect()
-    assert [r.errors for r in rows] == [[], ["unknown category"], ["not an object"], ["not an object"]] and rows[0].floor_plans == ["1"]
-    two = json.dumps({"effective_private_rooms": 2, "layout_confidence_label": "Sure", "mortgage_risk_level": "Low"})
+    assert [r.errors for r in rows] == [[], ["images.category: not in its domain"], ["not an object"], ["not an object"]] and rows[0].floor_plan_image_ids == ["1"]
+    two = json.dumps({"effective_private_rooms": 2, "layout_confidence_label": "Sure", "mortgage_risk_level": "Low", "layout_explanation_user": "x"})
     (r,) = analysis.validated_pass2(spark.createDataFrame([(1, two)], "listing_id long, raw string")).collect()
-    assert r.effective_private_rooms == 2 and r.errors == ["unknown layout label"]
+    assert r.effective_private_rooms == 2 and r.errors == ["layout_confidence_label: not in its domain", "mortgage_explanation_user: text missing"]
     df = spark.createDataFrame([(1, ["1", "2"], ["2", "1"], ["1"]), (2, ["1"], ["1", "1"], []), (3, ["1"], ["1"], ["9"])], "listing_id long, e array<string>, c array<string>, f array<string>")
     assert [r.error is None for r in star.checked_ids(df, "e", "c", "f").orderBy("listing_id").collect()] == [True, False, False]
     ids = spark.createDataFrame([('[3, "2", 3, -1, "x", 5]',)], "v string").select(analysis.positive_ids("v").alias("x")).first().x
