@@ -81,22 +81,23 @@ def geocode_query(precision: str, district: str, street: str, house: str, city:
     )
 
 
-def poi_rows(payload: DataFrame, column: str = "payload") -> DataFrame:
-    """(element_type, element_id, category, lat, lon, name) of a JSON answer: 0, 1 or 2 rows an element.
+def poi_rows(payload: DataFrame, column: str = "payload", key: str | None = None) -> DataFrame:
+    """(first, element_type, element_id, category, lat, lon, name) of a JSON answer: 0, 1 or 2 rows an element.
 
     Elements without a position are dropped; of repeated ones the last value wins at the first place.
     """
     shape = "struct<elements:array<struct<type:string,id:bigint,lat:double,lon:double,center:struct<lat:double,lon:double>,tags:map<string,string>>>>"
-    rows = payload.select(F.posexplode(F.from_json(column, shape)["elements"]).alias("pos", "e"))
+    own = [key] if key else []  # with a key, answers stay apart
+    rows = payload.select(*own, F.posexplode(F.from_json(column, shape)["elements"]).alias("pos", "e"))
     lat, lon = F.coalesce("e.lat", "e.center.lat"), F.coalesce("e.lon", "e.center.lon")
     tag = lambda k: F.col("e.tags")[k]
     grocery = tag("shop").isin("supermarket", "convenience", "grocery")
     stop = (tag("highway") == "bus_stop") | (tag("public_transport") == "platform") | tag("railway").isin("tram_stop", "halt", "station")
     kinds = F.array_compact(F.array(F.when(F.coalesce(grocery, F.lit(False)), F.lit("grocery_shop")), F.when(F.coalesce(stop, F.lit(False)), F.lit("transport_stop"))))
-    rows = rows.select("pos", F.col("e.type").alias("element_type"), F.col("e.id").alias("element_id"), F.explode(kinds).alias("category"), lat.alias("lat"), lon.alias("lon"), F.coalesce(tag("name"), tag("brand")).alias("name"))
+    rows = rows.select(*own, "pos", F.col("e.type").alias("element_type"), F.col("e.id").alias("element_id"), F.explode(kinds).alias("category"), lat.alias("lat"), lon.alias("lon"), F.coalesce(tag("name"), tag("brand")).alias("name"))
     rows = rows.where("lat IS NOT NULL AND lon IS NOT NULL AND element_id IS NOT NULL")
-    last = rows.groupBy("element_type", "element_id", "category").agg(F.min("pos").alias("first"), F.max_by(F.struct("lat", "lon", "name"), "pos").alias("x"))
-    return last.select("first", "element_type", "element_id", "category", "x.lat", "x.lon", "x.name")
+    last = rows.groupBy(*own, "element_type", "element_id", "category").agg(F.min("pos").alias("first"), F.max_by(F.struct("lat", "lon", "name"), "pos").alias("x"))
+    return last.select(*own, "first", "element_type", "element_id", "category", "x.lat", "x.lon", "x.name")
 
 
 def fresh(fetches: DataFrame, now, radius_m: float = RADIUS_M, endpoint: str = "default", hours: float = 168) -> DataFrame:

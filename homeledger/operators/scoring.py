@@ -126,9 +126,9 @@ def scores_by_weights(long: DataFrame, weights: DataFrame) -> DataFrame:
     return found.withColumn("explanation", F.format_string("Weighted score calculated from %d total profile weight.", "weight"))
 
 
-def breakdown_json(scored: DataFrame) -> DataFrame:
-    """(listing_id, breakdown): a JSON object of block -> score, keys in order."""
-    own = sorted(c for c in scored.columns if c.startswith("b_"))
-    pairs = F.map_from_arrays(F.array(*(F.lit(c[2:]) for c in own)), F.array(*(F.struct(F.col(c).alias("score")) for c in own)))
+def breakdown_json(scored: DataFrame, profile: str = DEFAULT_PROFILE) -> DataFrame:
+    """(listing_id, breakdown): a JSON object of block -> score, if there is one, and the profile's weight; keys in order."""
+    weights = _weights(profile)
+    own = sorted(c for c in scored.columns if c.startswith("b_") and c[2:] in weights)
+    pairs = F.map_from_arrays(F.array(*(F.lit(c[2:]) for c in own)), F.array(*(F.struct(F.col(c).alias("score"), F.lit(weights[c[2:]]).alias("weight")) for c in own)))
     return scored.select("listing_id", F.to_json(pairs).alias("breakdown"))
-

@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 def _load_all() -> None:
     """The modules that register their queries here."""
-    from . import read_queries  # noqa: F401
+    from . import read_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -448,7 +448,14 @@ def user_marks(spark, sf):
     return changes.user_states(rows).drop("user_status")
 
 
-@query()
+_STEP = (
+    "CASE a.action WHEN 'viewed' THEN {'v': true, 'f': x.f, 'r': x.r, 's': CASE WHEN x.f OR x.r THEN x.s ELSE 'viewed' END, 'action': '', 'value': false}"
+    " WHEN 'favorite' THEN {'v': x.v, 'f': a.value, 'r': x.r, 's': CASE WHEN a.value THEN 'favorite' WHEN x.r THEN 'rejected' WHEN x.v THEN 'viewed' ELSE 'unseen' END, 'action': '', 'value': false}"
+    " ELSE {'v': x.v, 'f': x.f, 'r': a.value, 's': CASE WHEN a.value THEN 'rejected' WHEN x.f THEN 'favorite' WHEN x.v THEN 'viewed' ELSE 'unseen' END, 'action': '', 'value': false} END"
+)
+
+
+@query(f"WITH a AS (SELECT user_id AS listing_id, ts, {_ACTION} AS action, event_id % 2 = 0 AS value FROM events), l AS (SELECT listing_id, list_prepend({{'v': false, 'f': false, 'r': false, 's': 'unseen', 'action': '', 'value': false}}, list({{'v': false, 'f': false, 'r': false, 's': '', 'action': action, 'value': value}} ORDER BY ts, action, value)) AS todo FROM a GROUP BY listing_id), d AS (SELECT listing_id, list_reduce(todo, lambda x, a: {_STEP}) AS x FROM l) SELECT listing_id, x.v AS is_viewed, x.f AS is_favorite, x.r AS is_rejected, x.s AS user_status FROM d")
 def user_state_machine(spark, sf):
     rows = load(spark, sf, "events").selectExpr("user_id AS listing_id", "ts AS at", f"{_ACTION} AS action", "event_id % 2 = 0 AS value")
     return changes.user_states(rows)
@@ -654,13 +661,16 @@ def page_numbers(spark, sf):
     return load(spark, sf, "pages").select("page_id", text.page_number("url").alias("page"))
 
 
-@query("SELECT conv_id, coalesce(nullif(trim(max(text) FILTER (WHERE role = 'tool')), ''), nullif(trim(min(text) FILTER (WHERE role = 'user')), ''), '') <> '' AS said FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, sha256(coalesce(nullif(trim(max(text) FILTER (WHERE role = 'tool')), ''), nullif(trim(min(text) FILTER (WHERE role = 'user')), ''), '')) AS said FROM conversations GROUP BY conv_id")
 def first_text(spark, sf):
     rows = load(spark, sf, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("role") == "tool", F.col("text"))).alias("a"), F.min(F.when(F.col("role") == "user", F.col("text"))).alias("b"))
-    return rows.select("conv_id", (text.first_text("a", "b") != "").alias("said"))
+    return rows.select("conv_id", F.sha2(text.first_text("a", "b"), 256).alias("said"))
 
 
-@query()
+_BREAKDOWN = " || ',' || ".join(f"""'"{b}":{{' || coalesce('"score":' || CAST(CAST(b_{b} AS DOUBLE) AS VARCHAR) || ',', '') || '"weight":{w}}}'""" for b, w in sorted((b, w) for b, w in zip(scoring.BLOCKS, scoring.PROFILES[scoring.DEFAULT_PROFILE], strict=True) if b not in ("floor", "condition")))
+
+
+@query(f"{SCORED} SELECT listing_id, '{{' || {_BREAKDOWN} || '}}' AS breakdown FROM blocks")
 def score_breakdown(spark, sf):
     return scoring.breakdown_json(scoring.with_blocks(bind(spark, sf, "market")))
 

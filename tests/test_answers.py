@@ -196,3 +196,19 @@ def test_translations_and_rounding(spark):
     df = spark.createDataFrame([("price", 0.125), ("Price", 2.5), ("unknown", 3.5), ("other", None)], "t string, v double")
     got = df.select(text.translated("t", "ru", table, {"Price": "price"}).alias("t"), text.exact_round("v", 2).alias("a"), text.exact_round("v").alias("b")).collect()
     assert [tuple(r) for r in got] == [("Цена", 0.12, 0.0), ("Цена", 2.5, 2.0), ("unknown", 3.5, 4.0), ("other", None, None)]
+
+
+def test_links_of_all_pages(spark, sf):
+    """Titles and links against a plain reading of the pages' markup."""
+    import html
+    import re
+    from urllib.parse import urljoin
+
+    from homeledger.plans import queries as core
+
+    got = {r.page_id: r for r in core.queries()["page_links"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        found = [html.unescape(a or b) for a, b in re.findall(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", "", r.html or ""))]
+        assert got[r.page_id].links == list(dict.fromkeys(urljoin(r.url, x) for x in found if x))
