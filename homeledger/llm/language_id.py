@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import Slices, blocks, prepare, runs, spans_of, table, text_bytes, word_hashes
 
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 6_000_000
+#: Text bytes that are labelled at a time: features and emissions take a hundred times as many.
+BLOCK_TEXT = 1 << 20
 #: Numbers of a model at most.
 WEIGHTS = 1 << 22
 BITS, AFFIX, EPOCHS, RATE, SEED = 18, 4, 3, 0.3, 7
@@ -279,7 +281,7 @@ def training_rows(docs: DataFrame, per_label: int = SAMPLE_DOCS, sample_bytes: i
 def _predict(model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*model.value)
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", BLOCK_TEXT):
             if own.labels:
                 lang, score = document_scores(own, batch.column("text"))
             else:
