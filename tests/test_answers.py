@@ -212,3 +212,12 @@ def test_links_of_all_pages(spark, sf):
     for r in rows:
         found = [html.unescape(a or b) for a, b in re.findall(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", "", r.html or ""))]
         assert got[r.page_id].links == list(dict.fromkeys(urljoin(r.url, x) for x in found if x))
+
+
+def test_bootstrap(spark, tmp_path):
+    from homeledger.sources import catalog
+
+    at = str(tmp_path / "db")
+    assert set(catalog.bootstrap(spark, at)) == set(catalog.TABLES)
+    assert catalog.stored(spark, at, "profiles").where("is_builtin").count() == 9 and catalog.stored(spark, at, "layout_priors").count() == 8
+    assert catalog.stored(spark, at, "listings").count() == 0 and catalog.bootstrap(spark, at) == []
