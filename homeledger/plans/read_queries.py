@@ -445,9 +445,9 @@ def upsert_marks(spark, sf):
     return _stored_upsert(spark, sf).select("listing_id", "needs_ai", "reactivated", "outcome")
 
 
-@query(f"{_STORED} SELECT listing_id, 'listing_reactivated' AS event_type, TIMESTAMPTZ '2026-01-02 03:04:05+00' AS reactivated_at FROM r WHERE reactivated")
+@query(f"{_STORED} SELECT listing_id, 'listing_reactivated' AS event_type, TIMESTAMP '2026-01-02 03:04:05' AS reactivated_at FROM r WHERE reactivated")
 def reactivations(spark, sf):
-    return changes.reactivations(_stored_upsert(spark, sf), "2026-01-02 03:04:05+00:00")
+    return changes.reactivations(_stored_upsert(spark, sf), "2026-01-02 03:04:05").withColumn("reactivated_at", F.col("reactivated_at").cast("timestamp_ntz"))
 
 
 @query(f"{_STORED} SELECT count(*) FILTER (WHERE outcome <> 'missing') AS seen, count(*) FILTER (WHERE outcome <> 'missing') AS stored, count(*) FILTER (WHERE outcome = 'new') AS new, count(*) FILTER (WHERE outcome = 'changed') AS changed, count(*) FILTER (WHERE outcome = 'missing') AS inactive, count(*) FILTER (WHERE reactivated) AS reactivated, (SELECT count(*) FROM events WHERE event_id % 11 = 0) AS failed FROM r")
