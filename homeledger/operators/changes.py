@@ -56,13 +56,13 @@ def split_at(snapshots: DataFrame, cut) -> tuple[DataFrame, DataFrame]:
     return pick(snapshots.where(before), F.max_by), pick(snapshots.where(~before), F.min_by)
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, columns: tuple[str, ...] = ("price_eur", "visits", "description", "images")) -> DataFrame:
+def upsert(stored: DataFrame, incoming: DataFrame, columns: tuple[str, ...] = ("price_eur", "visits", "description", "images"), full: bool = True) -> DataFrame:
     """New state: outcome (new, changed, unchanged, missing), the columns, status, needs_ai and event types.
 
     Without a detail page the stored DETAIL_COLUMNS stay; everything else is overwritten. A listing that is
     not in the payloads is missing: inactive, its columns as they were. New listings have no events. A mark that an
     analysis is needed stays until one is saved. A listing that was inactive and comes again is `reactivated`; this is
-    no change by itself (reactivations() has its event).
+    no change by itself (reactivations() has its event). Where the payloads are no full crawl, missing listings keep their status.
     """
     marks = {"status": F.lit("active"), "needs_ai": F.lit(False)}
     o = stored.select("listing_id", F.struct(*columns, *(F.col(c) if c in stored.columns else v.alias(c) for c, v in marks.items())).alias("o"))
@@ -77,7 +77,7 @@ def upsert(stored: DataFrame, incoming: DataFrame, columns: tuple[str, ...] = ("
     outcome = F.when(gone, "missing").when(new, "new").when(F.size("events") > 0, "changed").otherwise("unchanged")
     again = F.coalesce(~gone & (F.col("o.status") == "inactive"), F.lit(False))
     return rows.select(
-        "listing_id", outcome.alias("outcome"), *(v.alias(c) for c, v in out.items()), F.when(gone, "inactive").otherwise("active").alias("status"), again.alias("reactivated"),
+        "listing_id", outcome.alias("outcome"), *(v.alias(c) for c, v in out.items()), F.when(gone, F.lit("inactive") if full else F.col("o.status")).otherwise("active").alias("status"), again.alias("reactivated"),
         (new | F.coalesce("o.needs_ai", F.lit(False)) | F.array_contains("events", "description_changed") | F.array_contains("events", "image_count_changed")).alias("needs_ai"), "events",
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -81,6 +81,12 @@ def geocode_query(precision: str, district: str, street: str, house: str, city:
     )
 
 
+def geocode_confidence(precision: str, lat: str = "lat", lon: str = "lon") -> Column:
+    """How far a position can be trusted: by the precision of what was looked up; null without a hit."""
+    level = F.create_map(*(F.lit(x) for kv in zip(geo.PRECISIONS, ("high", "medium", "low"), strict=False) for x in kv))
+    return F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), level[F.col(precision)])
+
+
 def poi_rows(payload: DataFrame, column: str = "payload", key: str | None = None) -> DataFrame:
     """(first, element_type, element_id, category, lat, lon, name) of a JSON answer: 0, 1 or 2 rows an element.
 
@@ -102,7 +108,8 @@ def poi_rows(payload: DataFrame, column: str = "payload", key: str | None = None
 
 def fresh(fetches: DataFrame, now, radius_m: float = RADIUS_M, endpoint: str = "default", hours: float = 168) -> DataFrame:
     """fetches with whether each cached answer still serves: same place, radius and source, and young enough."""
-    at = F.expr("try_to_timestamp(fetched_at)")
+    utc = lambda c: F.try_to_timestamp(F.when(F.regexp_like(c, F.lit("([+-]\\d\\d:?\\d\\d|Z)$")), c).otherwise(F.concat(c, F.lit("+00:00"))))  # noqa: E731  times without a zone are UTC's
+    at = utc(F.col("fetched_at"))
     same = (F.abs(F.col("lat") - F.col("c_lat")) < 1e-6) & (F.abs(F.col("lon") - F.col("c_lon")) < 1e-6)
-    young = (F.lit(hours) > 0) & (at >= F.lit(now).cast("timestamp") - F.make_interval(hours=F.lit(int(hours))))
+    young = (F.lit(hours) > 0) & (at >= utc(F.lit(str(now))) - F.make_interval(hours=F.lit(int(hours))))
     return fetches.withColumn("fresh", F.coalesce(same & (F.col("radius_m") >= radius_m) & (F.col("endpoint") == endpoint) & young, F.lit(False)))

@@ -445,6 +445,19 @@ def upsert_marks(spark, sf):
     return _stored_upsert(spark, sf).select("listing_id", "needs_ai", "reactivated", "outcome")
 
 
+_EXTRA = {"house": "CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 90 AS VARCHAR(9)) END", "building_type": "CASE WHEN event_id % 3 <> 0 THEN 'Panel' END"}
+_BOTH = _UPSERT[_UPSERT.index(",\nboth_sides") :].replace("n.has_detail,", "n.has_detail, " + ", ".join(f"o.{c} AS o_{c}, n.{c}" for c in _EXTRA) + ",", 1)
+_PARTIAL = _UPSERT[: _UPSERT.index(",\nboth_sides")].replace("SELECT * FROM snapshots, cut", "SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in _EXTRA.items()) + " FROM snapshots, cut") + _BOTH[: _BOTH.index("SELECT listing_id, CASE WHEN NOT has_n THEN 'missing'")]
+
+
+@query(f"{_PARTIAL} SELECT listing_id, " + ", ".join(f"CASE WHEN has_n THEN {c} ELSE o_{c} END AS {c}" for c in _EXTRA) + ", CASE WHEN has_n AND (has_detail OR NOT has_o) THEN sha256(description) ELSE sha256(o_description) END AS description FROM both_sides")
+def upsert_partial(spark, sf):
+    """A payload without a detail page keeps the description but overwrites house number and building type, even with null."""
+    stored, incoming = (h.withColumns({k: F.expr(v) for k, v in _EXTRA.items()}) for h in _halves(spark, sf))
+    rows = changes.upsert(stored, incoming, ("price_eur", "visits", "description", "images", *_EXTRA))
+    return rows.select("listing_id", *_EXTRA, F.sha2("description", 256).alias("description"))
+
+
 @query(f"{_STORED} SELECT listing_id, 'listing_reactivated' AS event_type, TIMESTAMP '2026-01-02 03:04:05' AS reactivated_at FROM r WHERE reactivated")
 def reactivations(spark, sf):
     return changes.reactivations(_stored_upsert(spark, sf), "2026-01-02 03:04:05").withColumn("reactivated_at", F.col("reactivated_at").cast("timestamp_ntz"))

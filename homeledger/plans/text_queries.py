@@ -93,6 +93,11 @@ def poi_payloads(spark, sf):
     return places.poi_rows(df, key="c_custkey")
 
 
+@query(ctes("located") + " SELECT listing_id, CASE WHEN lat IS NOT NULL THEN CASE precision WHEN 'exact_house' THEN 'high' WHEN 'street_approx' THEN 'medium' WHEN 'district_approx' THEN 'low' END END AS confidence FROM located")
+def geocode_confidences(spark, sf):
+    return bind(spark, sf, "located").select("listing_id", places.geocode_confidence("precision").alias("confidence"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN false ELSE o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0 AND o_orderkey % 7 <> 0 AND o_orderdate >= TIMESTAMP '1996-01-01' - INTERVAL 168 HOUR END AS fresh FROM orders")
 def cache_freshness(spark, sf):
     rows = load(spark, sf, "orders").selectExpr(

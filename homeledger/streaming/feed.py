@@ -22,9 +22,8 @@ def step(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rest = [c for c in batch.columns if c != "listing_id"]
     newest = batch.groupBy("listing_id").agg(F.max_by(F.struct(*rest), "checked_at").alias("x")).select("listing_id", *(f"x.{c}" for c in rest))
-    rows = changes.upsert(stored, newest, COLUMNS)
-    kept = F.when(F.col("outcome") == "missing", F.lit("active")).otherwise(F.col("status"))
-    state = rows.select("listing_id", *COLUMNS, kept.alias("status"))
+    rows = changes.upsert(stored, newest, COLUMNS, full=False)
+    state = rows.select("listing_id", *COLUMNS, "status")
     events = rows.where("outcome = 'changed'").select("listing_id", F.explode("events").alias("event_type"))
     return state, events
 
@@ -39,6 +38,9 @@ def run(spark: SparkSession, snapshots: DataFrame, folder: str, checkpoint: str)
         state, events = step(stored, batch)
         state.write.mode("overwrite").parquet(f"{folder}/state/{number}")
         events.write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
+        if number > 1:  # the state before this one stays, for a batch that is repeated
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state/{number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
