@@ -154,9 +154,9 @@ def filter_private_rooms(spark, sf):
     return filters.apply(bind(spark, sf, "market"), FilterSpec(effective_private_rooms=frozenset((0, 2)), area_min=40.0)).select("listing_id")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN '—' WHEN p_partkey * 7 >= 1000 THEN printf('%.1f km', p_partkey * 7 / 1000.0 + 0.003) ELSE printf('%.0f m', p_partkey * 7 + 0.25) END AS distance, CASE WHEN p_partkey >= 1000 THEN printf('%.1fk', p_partkey / 1000.0 + 0.003) ELSE CAST(p_partkey AS VARCHAR) END AS short, round_even(p_partkey / 8.0, 2)::DOUBLE AS even, CAST(o AS VARCHAR) AS day FROM (SELECT *, DATE '2024-01-01' + CAST(p_size AS INT) AS o FROM part)")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN '—' WHEN p_partkey * 7 >= 1000 THEN printf('%.1f km', (p_partkey * 7 + 3.7::DOUBLE) / 1000) ELSE printf('%.0f m', p_partkey * 7 + 0.25) END AS distance, CASE WHEN p_partkey >= 1000 THEN printf('%.1fk', (p_partkey + 3.7::DOUBLE) / 1000) ELSE CAST(p_partkey AS VARCHAR) END AS short, round_even(p_partkey / 8.0, 2)::DOUBLE AS even, CAST(o AS VARCHAR) AS day FROM (SELECT *, DATE '2024-01-01' + CAST(p_size AS INT) AS o FROM part)")
 def number_texts(spark, sf):
-    rows = load(spark, sf, "part").selectExpr("p_partkey", "CASE WHEN p_partkey % 9 <> 0 THEN CASE WHEN p_partkey * 7 >= 1000 THEN p_partkey * 7 + 3.0D ELSE p_partkey * 7 + 0.25D END END AS d", "CASE WHEN p_partkey >= 1000 THEN p_partkey + 3.0D ELSE CAST(p_partkey AS double) END AS n", "p_partkey / 8.0D AS e", "concat(date_add(DATE'2024-01-01', p_size), 'T10:00:00+00:00') AS t")
+    rows = load(spark, sf, "part").selectExpr("p_partkey", "CASE WHEN p_partkey % 9 <> 0 THEN CASE WHEN p_partkey * 7 >= 1000 THEN p_partkey * 7 + 3.7D ELSE p_partkey * 7 + 0.25D END END AS d", "CASE WHEN p_partkey >= 1000 THEN p_partkey + 3.7D ELSE CAST(p_partkey AS double) END AS n", "p_partkey / 8.0D AS e", "concat(date_add(DATE'2024-01-01', p_size), 'T10:00:00+00:00') AS t")
     return rows.select("p_partkey", text.distance("d").alias("distance"), text.compact_number("n").alias("short"), text.exact_round("e", 2).alias("even"), text.date_part("t").alias("day"))
 
 
