@@ -16,7 +16,8 @@ a text's words of LONG bytes or more, -1 if it has none. Tokens are words as in
 source or lang is a value of its own. Texts without words weigh nothing and take their cell's probability.
 Targets: {value: share} for a dimension, or an exponent that tempers the shares found (1 keeps them, 0
 makes them equal); shares of values that do not occur are spread over the others. Repeated rows keep one
-output row each.
+output row each; an empty table gives none. Very long texts are a block of their own. Columns of docs travel; those
+named topic (as text), mix_tokens, weight, probability and sampled are replaced.
 """
 
 from __future__ import annotations

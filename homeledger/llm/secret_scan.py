@@ -10,7 +10,11 @@ Rules without a mandatory trigram scan every text.
 
 Postings are keyed by text, so any number of copies is one posting, and nothing depends on doc_id: every
 input row keeps one output row, also for repeated or null doc_ids. Null text is empty. Positions are code
-points, end exclusive; matches of a rule are leftmost and do not overlap, failing ones are dropped.
+points, end exclusive; matches of a rule are leftmost and do not overlap, failing ones are dropped. An empty table gives
+no rows; very long texts are scanned whole. Only doc_id and text are read; other columns do not travel.
+
+The index here holds the trigrams that the rules at hand ask for, found in one pass over the texts: it is made for a set of
+rules, not kept for later ones.
 """
 
 from __future__ import annotations
