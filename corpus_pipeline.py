@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from homeledger.llm import decontamination, language_id, mixing, simhash, token_output
 from homeledger.llm.common import table, written
 
-#: Texts whose language is less certain than this go, as do those without any letter. On sf0.1 13 of 10,000 texts score less,
-#: 3 of the 8 that are wrongly labelled among them: two-word texts, and texts that change language halfway.
+#: Texts whose language is less certain than this go, as do those without any letter. On sf0.1 14 of 10,000 texts score less,
+#: 3 of the 8 that are wrongly labelled among them; the rest are very short texts or change language halfway.
 LEAST_SCORE = 0.6
 #: A null doc_id's key: above any usual id.
 KEY = "coalesce(CAST(doc_id AS bigint), shiftrightunsigned(xxhash64(text), 2) + 4611686018427387904)"
