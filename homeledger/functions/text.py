@@ -121,22 +121,27 @@ def money(c: str | Column, missing: str = "unknown", unit: str = " EUR") -> Colu
     return F.coalesce(F.concat(thousands(c), F.lit(unit)), F.lit(missing))
 
 
+def fixed(c: str | Column, digits: int) -> Column:
+    """A number with so many decimals, rounded on its exact binary value with halves to even, as printf does in C, Python and SQL; Java's %f is not."""
+    return F.replace(F.format_number(col(c), digits), F.lit(","), F.lit(""))
+
+
 def area(c: str | Column, missing: str = "unknown", unit: str = " m2") -> Column:
     """Whole areas without decimals, others with one."""
     v = col(c)
-    text = F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(F.format_string("%.1f", v))
+    text = F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(fixed(v, 1))
     return F.when(v.isNull(), F.lit(missing)).otherwise(F.concat(text, F.lit(unit)))
 
 
 def distance(c: str | Column, missing: str = DASH) -> Column:
     """Metres, or kilometres with one decimal from 1000 m on."""
     v = col(c)
-    return F.when(v.isNull(), F.lit(missing)).when(v >= 1000, F.concat(F.format_string("%.1f", v / 1000), F.lit(" km"))).otherwise(F.concat(F.format_string("%.0f", v), F.lit(" m")))
+    return F.when(v.isNull(), F.lit(missing)).when(v >= 1000, F.concat(fixed(v / 1000, 1), F.lit(" km"))).otherwise(F.concat(fixed(v, 0), F.lit(" m")))
 
 
 def compact_number(c: str | Column) -> Column:
     v = col(c)
-    return F.when(v >= 1000, F.concat(F.format_string("%.1f", v / 1000), F.lit("k"))).otherwise(F.format_string("%.0f", v))
+    return F.when(v >= 1000, F.concat(fixed(v / 1000, 1), F.lit("k"))).otherwise(fixed(v, 0))
 
 
 def or_unknown(c: str | Column, missing: str = "unknown") -> Column:

@@ -124,16 +124,16 @@ def detail(
 # ---- texts ---------------------------------------------------------------------------------------------------
 
 
-def _number(form: str, c: str, tail: str = "") -> Column:
-    return F.when(F.col(c).isNull(), "unknown").otherwise(F.format_string(form + tail, F.col(c)))
+def _number(digits: int, c: str, tail: str = "") -> Column:
+    return F.when(F.col(c).isNull(), "unknown").otherwise(F.concat(text.fixed(c, digits), F.lit(tail)))
 
 
 def _score(c: str) -> Column:
-    return _number("%.1f", c)
+    return _number(1, c)
 
 
 def _metres(c: str) -> Column:
-    return _number("%.0f", c, " m")
+    return _number(0, c, " m")
 
 
 def _said(c: str, missing: str = "unknown") -> Column:
@@ -181,7 +181,7 @@ def sections() -> dict[str, Column]:
     newest = lambda k: F.try_element_at("history", F.lit(1))[k]
     last = F.try_element_at("events", F.lit(1))
     event = F.concat(last["event_type"], F.when(last["old_value"].isNotNull() | last["new_value"].isNotNull(), F.concat(F.lit(" ("), F.coalesce(last["old_value"], F.lit("None")), F.lit(" -> "), F.coalesce(last["new_value"], F.lit("None")), F.lit(")"))).otherwise(""))
-    lines = F.transform(breakdown(), lambda x: F.concat(x["label"], F.lit(": "), F.coalesce(F.when(x["score"].isNotNull(), F.format_string("%.1f", x["score"])), F.lit("unknown")), F.coalesce(F.concat(F.lit(" - "), x["explanation"]), F.lit(""))))
+    lines = F.transform(breakdown(), lambda x: F.concat(x["label"], F.lit(": "), F.coalesce(F.when(x["score"].isNotNull(), text.fixed(x["score"], 1)), F.lit("unknown")), F.coalesce(F.concat(F.lit(" - "), x["explanation"]), F.lit(""))))
     none = F.array().cast("array<string>")
     shown = F.size("history") > 0
     return {
@@ -206,7 +206,7 @@ def sections() -> dict[str, Column]:
         "mortgage": F.array(_line("Mortgage risk", _said("risk", "Unknown")), _line("Reasons", _said("risk_reasons", "not analyzed yet")), _line("Evidence", _said("risk_text", "not analyzed yet"))),
         "location": F.array(
             _line("Address precision", _said("precision")), _line("Geocode confidence", _said("confidence")),
-            _line("Coordinates", F.when(F.col("lat").isNull() | F.col("lon").isNull(), "unknown").otherwise(F.format_string("%.6f, %.6f", "lat", "lon"))), _line("Location scores enabled", _yes("geo_enabled")), _line("Disabled reason", _said("geo_reason", "none")),
+            _line("Coordinates", F.when(F.col("lat").isNull() | F.col("lon").isNull(), "unknown").otherwise(F.concat_ws(", ", text.fixed("lat", 6), text.fixed("lon", 6)))), _line("Location scores enabled", _yes("geo_enabled")), _line("Disabled reason", _said("geo_reason", "none")),
             _line("RTU", _metres("rtu_distance"), ", score ", _score("rtu_score")), _line("Central station", _metres("station_distance"), ", score ", _score("station_score")),
             _line("Grocery shops", "nearest ", _metres("nearest_shop"), ", ", _said("shops_1200"), " within 1200 m, score ", _score("shop_score")),
             _line("Public transport", "nearest ", _metres("nearest_stop"), ", ", _said("stops_900"), " within 900 m, score ", _score("transport_score")), _line("Location explanation", F.coalesce(location_text(), F.lit("not calculated yet"))),

@@ -108,8 +108,8 @@ def ranking_rows(ranked: DataFrame) -> DataFrame:
     )
 
 
-def _number(form: str, c: str) -> Column:
-    return F.when(F.col(c).isNull(), F.lit("unknown")).otherwise(F.format_string(form, F.col(c)))
+def _number(digits: int, c: str, tail: str = "") -> Column:
+    return F.when(F.col(c).isNull(), F.lit("unknown")).otherwise(F.concat(text.fixed(c, digits), F.lit(tail)))
 
 
 #: Attribute rows of a comparison, in order.
@@ -121,12 +121,12 @@ COMPARED = (
     ("SS-declared rooms", lambda: text.or_unknown("declared_rooms")),
     ("Layout confidence", lambda: text.or_unknown("layout_label")),
     ("Mortgage risk", lambda: text.or_unknown("risk")),
-    ("RTU distance", lambda: _number("%.0f m", "rtu_distance")),
-    ("Transport score", lambda: _number("%.1f", "transport_score")),
-    ("Central station distance", lambda: _number("%.0f m", "station_distance")),
+    ("RTU distance", lambda: _number(0, "rtu_distance", " m")),
+    ("Transport score", lambda: _number(1, "transport_score")),
+    ("Central station distance", lambda: _number(0, "station_distance", " m")),
     ("Shops within 1200 m", lambda: text.or_unknown("shops_1200")),
     ("Building / series", lambda: F.coalesce(F.nullif("series", F.lit("")), F.nullif("building_type", F.lit("")), F.lit("unknown"))),
-    ("Score", lambda: _number("%.1f", "score")),
+    ("Score", lambda: _number(1, "score")),
     ("Flags", lambda: F.when(F.size(comparison_flags()) > 0, F.array_join(comparison_flags(), ", ")).otherwise("none")),
 )
 
