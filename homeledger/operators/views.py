@@ -159,5 +159,5 @@ def top_lines() -> Column:
 
 
 def history_lines(trend: DataFrame) -> DataFrame:
-    sign = F.when(F.col("change") < 0, "-").otherwise("+")
+    sign = F.when(F.col("latest") < F.col("oldest"), "-").otherwise("+")  # a change that rounds to 0 keeps its sign
     return trend.select("listing_id", F.concat(sign, F.abs("change").cast("string"), F.lit("%")).alias("text"), "kind")
