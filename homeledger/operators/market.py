@@ -4,9 +4,10 @@ A listing is compared with the other comparable ones (active, not of critical ri
 four levels: same district, size band and rooms with the same series; with the same private rooms; district
 alone; whole city. The first level with enough listings gives the baseline, else the city at any size.
 
-The three district levels ask the same of all listings of equal district, area, rooms and series, so samples are taken
-once for each such key, with the listing itself in them: one equi-join on district and a logarithmic area bucket
-(an area ratio in 0.8..1.2 spans at most one bucket), with the band as residual. Of a sorted sample only its size and
+The district level asks the same of all listings of equal district, area and declared rooms, the two narrower ones of those
+that also share the series or the private rooms. So each level takes its samples once for each key of its own, with the listing
+itself in them: one equi-join on district, series or private rooms, and a logarithmic area bucket (an area ratio in 0.8..1.2
+spans at most one bucket), with the band as residual; equal values are counted before. Of a sorted sample only its size and
 the four values in the middle go on: they give the median without any one of its values. So pairs grow with
 keys, which are few beside listings, and no listing is paired with another. The city level needs no join at all:
 leave-one-out medians from the middle order statistics.
@@ -56,15 +57,19 @@ def _bucket(area: Column) -> Column:
     return F.floor(F.log(area) / BUCKET).cast("int")
 
 
-#: What a listing's district samples depend on.
-KEY = ("district", "area_m2", "declared_rooms", "private_rooms", "series")
+#: What a listing's district samples depend on: those of the district alone, and what the two narrower ones ask besides.
+PLACE = ("district", "area_m2", "declared_rooms")
+NARROWER = {"series": "series", "ai": "private_rooms", "district": None}
 
 
-def _middle(sample: Column) -> Column:
-    """struct(n, first, mid): size of a sample and its up to four values in the middle, the first of them by rank from 1."""
-    n = F.size(sample)
-    first = F.greatest(F.lit(1), F.floor((n - 1) / 2).cast("int"))
-    return F.struct(n.alias("n"), first.alias("first"), F.slice(F.sort_array(sample), first, F.lit(4)).alias("mid"))
+def _middle(pairs: DataFrame, own: list[str]) -> DataFrame:
+    """(own, n, first, mid) of samples given as (own, v, c), c times the value v: size and up to four values in the middle, the first of them by rank from 1."""
+    rows = pairs.groupBy(*own).agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("v", "c"))).alias("x"))
+    rows = rows.withColumn("first", F.greatest(F.lit(1), F.floor((F.col("n") - 1) / 2)).cast("bigint"))
+    taken = """aggregate(x, struct(0L AS seen, CAST(array() AS array<double>) AS mid), (a, y) -> struct(a.seen + y.c AS seen,
+      CASE WHEN a.seen + y.c < first OR a.seen >= first + 3 THEN a.mid
+           ELSE concat(a.mid, array_repeat(y.v, CAST(least(a.seen + y.c, first + 3) - greatest(a.seen, first - 1) AS int))) END AS mid), a -> a.mid)"""
+    return rows.select(*own, "n", "first", F.expr(taken).alias("mid"))
 
 
 def _without(m: str, member: Column, own: Column) -> tuple[Column, Column]:
@@ -80,44 +85,72 @@ def _without(m: str, member: Column, own: Column) -> tuple[Column, Column]:
     return n - member.cast("int"), F.when(member, median(left, n - 1)).otherwise(median(at, n))
 
 
-def level_medians(listings: DataFrame) -> DataFrame:
-    """(listing_id, n and median of series, ai and district level) for listings with a district.
+def _values(rows: DataFrame, own: list[str]) -> DataFrame:
+    """(o_<own>, v, c): how often comparables that are alike have the same EUR/m2."""
+    return rows.where("normal").groupBy(*(F.col(c).alias(f"o_{c}") for c in own), F.col("ppm2").alias("v")).agg(F.count("*").alias("c"))
+
 
+def _samples(rows: DataFrame, narrower: str | None) -> DataFrame:
+    """(own, n, first, mid): the middle of the sample of each (district, area, declared rooms) and, where asked, series or private rooms.
+
+    Equal values of comparables that are alike in these are counted first, so that a value meets a key once.
     A missing or zero area or room count on either side puts no bound on the other; such areas meet every bucket
     through a key of their own.
     """
-    rows = with_prices(listings).where(nulls.filled("district").isNotNull()).withColumn("normal", comparable())
-    key = rows.select(*KEY).distinct()
+    own = [*PLACE, *([narrower] if narrower else [])]
+    asked = nulls.filled("series").isNotNull() if narrower == "series" else F.col(narrower).isNotNull() if narrower else F.lit(True)
+    key = rows.where(asked).select(*own).distinct()
     known = F.coalesce(F.col("area_m2") > 0, F.lit(False))
     # comparables always have a positive area (their EUR/m2 is known); keys may lack one
     key = key.withColumn("b", F.explode(F.when(known, F.array(*(_bucket(F.col("area_m2")) + d for d in (-1, 0, 1)))).otherwise(F.array(F.lit(None).cast("int")))))
-    other = rows.where("normal").select(
-        F.col("district").alias("o_district"), F.col("area_m2").alias("o_area"), F.col("declared_rooms").alias("o_rooms"), F.col("private_rooms").alias("o_private"), F.col("series").alias("o_series"), F.col("ppm2").alias("o_ppm2"),
-    )
+    other = _values(rows.where(asked), own)
     same = F.col("district") == F.col("o_district")
-    rooms = (F.coalesce("declared_rooms", F.lit(0)) == 0) | (F.coalesce("o_rooms", F.lit(0)) == 0) | (F.abs(F.col("o_rooms") - F.col("declared_rooms")) <= 1)
-    band = (F.col("o_area") / F.col("area_m2")).between(0.8, 1.2)
-    pairs = key.where("b IS NOT NULL").join(other.withColumn("o_b", _bucket(F.col("o_area"))), same & (F.col("b") == F.col("o_b")) & band & rooms).drop("o_b")
-    pairs = pairs.unionByName(key.where("b IS NULL").join(other, same & rooms))
-    same_private = nulls.require(F.col("o_private") == F.col("private_rooms"))
-    same_series = nulls.require((nulls.filled("series").isNotNull()) & (F.col("o_series") == F.col("series")))
-    sample = lambda c: F.collect_list(F.when(c, F.col("o_ppm2")))
-    taken = pairs.groupBy(*KEY).agg(sample(same_series).alias("s"), sample(same_private).alias("p"), F.collect_list("o_ppm2").alias("d"))
-    taken = taken.select(*(F.col(c).alias(f"k_{c}") for c in KEY), _middle(F.col("s")).alias("s"), _middle(F.col("p")).alias("p"), _middle(F.col("d")).alias("d"))
+    if narrower:
+        same = same & (F.col(narrower) == F.col(f"o_{narrower}"))
+    declared, o_declared = F.col("declared_rooms"), F.col("o_declared_rooms")
+    rooms = (F.coalesce(declared, F.lit(0)) == 0) | (F.coalesce(o_declared, F.lit(0)) == 0) | (F.abs(o_declared - declared) <= 1)
+    band = (F.col("o_area_m2") / F.col("area_m2")).between(0.8, 1.2)
+    pairs = key.where("b IS NOT NULL").join(other.withColumn("o_b", _bucket(F.col("o_area_m2"))), same & (F.col("b") == F.col("o_b")) & band & rooms).select(*own, "v", "c")
+    pairs = pairs.unionByName(key.where("b IS NULL").join(other, same & rooms).select(*own, "v", "c"))
+    return _middle(pairs, own)
+
+
+def with_levels(rows: DataFrame) -> DataFrame:
+    """Adds n and median of the series, ai and district level to priced listings marked as normal or not; n is 0 without a sample."""
+    local = rows.where(nulls.filled("district").isNotNull()).select(*PLACE, "private_rooms", "series", "ppm2", "normal")
+    keys, names = (*PLACE, "private_rooms", "series"), {}
+    key = local.select(*keys).distinct()
+    for level, narrower in NARROWER.items():
+        own = [*PLACE, *([narrower] if narrower else [])]
+        taken = _samples(local, narrower)
+        taken = taken.select(*(F.col(c).alias(f"k_{c}") for c in own), F.struct("n", "first", "mid").alias(names.setdefault(level, f"_{level}")))
+        key = key.join(taken, _alike(own), "left").drop(*(f"k_{c}" for c in own))
+    key = key.select(*(F.col(c).alias(f"k_{c}") for c in keys), *names.values())
+    rows = rows.join(key, _alike(keys), "left").drop(*(f"k_{c}" for c in keys))
+    member = F.col("normal") & nulls.filled("district").isNotNull()
+    for level, own in (("series", nulls.require(nulls.filled("series").isNotNull())), ("ai", F.col("private_rooms").isNotNull()), ("district", F.lit(True))):
+        n, median = _without(names[level], nulls.require(member & own), F.col("ppm2"))
+        rows = rows.withColumn(f"{level}_n", n).withColumn(f"{level}_median", median)
+    return rows.drop(*names.values())
+
+
+def _alike(keys) -> Column:
+    """Equal keys, nulls being equal; the other side's are named k_<key>."""
     on = F.lit(True)
-    for c in KEY:
+    for c in keys:
         on = on & F.col(c).eqNullSafe(F.col(f"k_{c}"))
-    rows = rows.select("listing_id", *KEY, "ppm2", "normal").join(taken, on, "left")
-    member, out = F.col("normal"), []
-    for level, m, own in (("series", "s", member & nulls.require(nulls.filled("series").isNotNull())), ("ai", "p", member & F.col("private_rooms").isNotNull()), ("district", "d", member)):
-        n, median = _without(m, own, F.col("ppm2"))
-        out += [n.alias(f"{level}_n"), median.alias(f"{level}_median")]
-    return rows.select("listing_id", *out)
+    return on
+
+
+def level_medians(listings: DataFrame) -> DataFrame:
+    """(listing_id, n and median of series, ai and district level) for listings with a district."""
+    rows = with_prices(listings).where(nulls.filled("district").isNotNull()).withColumn("normal", comparable())
+    return with_levels(rows).select("listing_id", *(f"{level}_{x}" for level in NARROWER for x in ("n", "median")))
 
 
 def baselines(listings: DataFrame, least: int = MIN_SAMPLE) -> DataFrame:
     """Listings with their baseline: level, sample size and median rounded to cents (nulls without one)."""
-    rows = city_medians(listings).join(level_medians(listings), "listing_id", "left")
+    rows = with_levels(city_medians(listings))
     found = F.lit(None).cast("struct<level:string,n:bigint,median:double>")
     pick = lambda level, n, m: F.struct(F.lit(level).alias("level"), F.col(n).cast("bigint").alias("n"), F.round(m, 2).alias("median"))
     found = F.when(F.col("city_n") >= 1, pick(LEVELS[3], "city_n", "city_median")).otherwise(found)
