@@ -15,8 +15,8 @@ RADIUS_M = 1800.0
 _DEGREE_M = math.pi * geo.EARTH_RADIUS_M / 180
 
 
-def near(left: DataFrame, right: DataFrame, radius_m: float = RADIUS_M, most_latitude: float = 60.0) -> DataFrame:
-    """Pairs of left (lat, lon) and right (poi_lat, poi_lon) within the radius, with distance_m.
+def _spots(left: DataFrame, right: DataFrame, radius_m: float, most_latitude: float) -> DataFrame:
+    """(lat, lon, poi_lat, poi_lon, distance_m): pairs of different positions within the radius.
 
     Cells are at least a radius high and wide (at the highest latitude in use), so neighbours lie in the nine
     cells around: an equi-join on the cell, then the exact distance. A crowded cell is an ordinary skewed
@@ -26,25 +26,55 @@ def near(left: DataFrame, right: DataFrame, radius_m: float = RADIUS_M, most_lat
     wide = high / math.cos(math.radians(most_latitude))
     cell = lambda c, size: F.floor(F.col(c) / size).cast("long")
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    l = left.withColumn("_s", F.explode(steps)).withColumn("_y", cell("lat", high) + F.col("_s.i")).withColumn("_x", cell("lon", wide) + F.col("_s.j")).drop("_s")  # noqa: E741
-    r = right.withColumn("_y", cell("poi_lat", high)).withColumn("_x", cell("poi_lon", wide))
+    l = left.select("lat", "lon").distinct().withColumn("_s", F.explode(steps)).withColumn("_y", cell("lat", high) + F.col("_s.i")).withColumn("_x", cell("lon", wide) + F.col("_s.j")).drop("_s")  # noqa: E741
+    r = right.select("poi_lat", "poi_lon").distinct().withColumn("_y", cell("poi_lat", high)).withColumn("_x", cell("poi_lon", wide))
     pairs = l.join(r, ["_y", "_x"]).drop("_y", "_x")
     return pairs.withColumn("distance_m", geo.haversine_m("lat", "lon", "poi_lat", "poi_lon")).where(F.col("distance_m") <= radius_m)
 
 
+def near(left: DataFrame, right: DataFrame, radius_m: float = RADIUS_M, most_latitude: float = 60.0) -> DataFrame:
+    """Pairs of left (lat, lon) and right (poi_lat, poi_lon) within the radius, with distance_m.
+
+    Distances are taken once for each pair of different positions; rows meet by their positions.
+    """
+    spots = _spots(left, right, radius_m, most_latitude)
+    return left.join(spots, ["lat", "lon"]).join(right, ["poi_lat", "poi_lon"])
+
+
+def with_near(left: DataFrame, right: DataFrame, radius_m: float = RADIUS_M, most_latitude: float = 60.0) -> DataFrame:
+    """Rows of right (poi_lat, poi_lon) that some row of left is near to: no pair of rows is made."""
+    spots = _spots(left, right, radius_m, most_latitude).select("poi_lat", "poi_lon").distinct()
+    return right.join(spots, ["poi_lat", "poi_lon"], "left_semi")
+
+
+def _summed(links: DataFrame, *own: str) -> DataFrame:
+    """(own, nearest and counts) of links (own, category, distance_m, n): n points of a category at a distance, rounded to 0.1 m."""
+    d = F.round("distance_m", 1)
+    shop, stop = F.col("category") == "grocery_shop", F.col("category") == "transport_stop"
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0))).cast("long")
+    return links.groupBy(*own).agg(
+        F.min(F.when(shop, d)).alias("nearest_shop"), *(count(shop & (d <= r)).alias(f"shops_{r}") for r in (300, 700, 1200)),
+        F.min(F.when(stop, d)).alias("nearest_stop"), count(stop & (d <= 900)).alias("stops_900"),
+    )
+
+
 def infrastructure(listings: DataFrame, links: DataFrame) -> DataFrame:
     """Per listing nearest shop and stop and how many lie near, on distances rounded to 0.1 m.
 
     links: (listing_id, category, distance_m). A listing that was never looked up (fetched false) has nulls;
     one that was, with nothing near, has counts of 0.
     """
-    d = F.round("distance_m", 1)
-    shop, stop = F.col("category") == "grocery_shop", F.col("category") == "transport_stop"
-    found = links.groupBy("listing_id").agg(
-        F.min(F.when(shop, d)).alias("nearest_shop"), *(F.count_if(shop & (d <= r)).alias(f"shops_{r}") for r in (300, 700, 1200)),
-        F.min(F.when(stop, d)).alias("nearest_stop"), F.count_if(stop & (d <= 900)).alias("stops_900"),
-    )
-    rows = listings.join(found, "listing_id", "left")
+    return _scored(listings.join(_summed(links.withColumn("n", F.lit(1)), "listing_id"), "listing_id", "left"))
+
+
+def infrastructure_of(listings: DataFrame, points: DataFrame, radius_m: float = RADIUS_M, most_latitude: float = 60.0) -> DataFrame:
+    """The same from listings (lat, lon) and points (poi_lat, poi_lon, category): summed up once for each position, no pair of rows is made."""
+    counted = points.groupBy("poi_lat", "poi_lon", "category").agg(F.count("*").alias("n"))
+    found = _summed(_spots(listings, points, radius_m, most_latitude).join(counted, ["poi_lat", "poi_lon"]), "lat", "lon")
+    return _scored(listings.join(found, ["lat", "lon"], "left"))
+
+
+def _scored(rows: DataFrame) -> DataFrame:
     for c in ("shops_300", "shops_700", "shops_1200", "stops_900"):
         rows = rows.withColumn(c, F.when(F.col("fetched"), F.coalesce(c, F.lit(0))))
     for c in ("nearest_shop", "nearest_stop"):

@@ -342,7 +342,8 @@ def haversine_destinations(spark, sf):
 
 @query(f"{P} SELECT listing_id, poi_id, category, round(d, 1) AS distance_m FROM (SELECT listing_id, poi_id, category, {_PAIR} AS d FROM places, pois) WHERE d <= 1800")
 def poi_distance_join(spark, sf):
-    return places.near(bind(spark, sf, "places"), bind(spark, sf, "pois")).select("listing_id", "poi_id", "category", F.round("distance_m", 1).alias("distance_m"))
+    rows = bind(spark, sf, "places").select("listing_id", "lat", "lon")
+    return places.near(rows, bind(spark, sf, "pois").drop("poi_name")).select("listing_id", "poi_id", "category", F.round("distance_m", 1).alias("distance_m"))
 
 
 _BONUS = "least(s300 * 8 + greatest(0, s700 - s300) * 3 + greatest(0, s1200 - s700), 20)"
@@ -350,15 +351,14 @@ _BONUS = "least(s300 * 8 + greatest(0, s700 - s300) * 3 + greatest(0, s1200 - s7
 
 @query(f"{P}, k AS (SELECT listing_id, category, round(d, 1) AS d FROM (SELECT listing_id, category, {_PAIR} AS d FROM places, pois) WHERE d <= 1800), g AS (SELECT listing_id, min(d) FILTER (WHERE category = 'grocery_shop') AS ns, count(*) FILTER (WHERE category = 'grocery_shop' AND d <= 300) AS s300, count(*) FILTER (WHERE category = 'grocery_shop' AND d <= 700) AS s700, count(*) FILTER (WHERE category = 'grocery_shop' AND d <= 1200) AS s1200, min(d) FILTER (WHERE category = 'transport_stop') AS nt, count(*) FILTER (WHERE category = 'transport_stop' AND d <= 900) AS t900 FROM k GROUP BY listing_id), j AS (SELECT p.listing_id, fetched, ns, coalesce(s300, 0) AS s300, coalesce(s700, 0) AS s700, coalesce(s1200, 0) AS s1200, nt, coalesce(t900, 0) AS t900 FROM places p LEFT JOIN g USING (listing_id)) SELECT listing_id, CASE WHEN fetched THEN ns END AS nearest_shop, CASE WHEN fetched THEN s300 END AS shops_300, CASE WHEN fetched THEN s700 END AS shops_700, CASE WHEN fetched THEN s1200 END AS shops_1200, CASE WHEN fetched THEN nt END AS nearest_stop, CASE WHEN fetched THEN t900 END AS stops_900, round(CASE WHEN fetched THEN coalesce(CASE WHEN ns IS NOT NULL THEN least(100.0, {_piece('ns', geo.SHOP)} + {_BONUS}) END, 0) END, 2) AS shop_score, round(CASE WHEN fetched THEN coalesce(CASE WHEN nt IS NOT NULL THEN least(100.0, {_piece('nt', geo.STOP)} + least(t900 * 3, 18)) END, 0) END, 2) AS transport_score FROM j")
 def infrastructure_summary(spark, sf):
-    rows = bind(spark, sf, "places")
-    found = places.infrastructure(rows.select("listing_id", "fetched"), places.near(rows, bind(spark, sf, "pois")))
-    return found.drop("fetched")
+    rows = bind(spark, sf, "places").select("listing_id", "lat", "lon", "fetched")
+    return places.infrastructure_of(rows, bind(spark, sf, "pois")).drop("fetched", "lat", "lon")
 
 
 @query(f"{P} SELECT DISTINCT poi_id, poi_name FROM (SELECT poi_id, poi_name, {_PAIR} AS d FROM places, pois WHERE status = 'active' AND category = 'grocery_shop') WHERE d <= 1800")
 def poi_distinct_visible(spark, sf):
     visible = bind(spark, sf, "places").where("status = 'active'")
-    return places.near(visible, bind(spark, sf, "pois").where("category = 'grocery_shop'")).select("poi_id", "poi_name").distinct()
+    return places.with_near(visible, bind(spark, sf, "pois").where("category = 'grocery_shop'")).select("poi_id", "poi_name").distinct()
 
 
 @query(f"{P} SELECT listing_id, lat, lon, CASE WHEN status = 'inactive' THEN 'inactive' WHEN is_rejected THEN 'rejected' WHEN is_favorite THEN 'favorite' WHEN {_PRECISION} = 'street_approx' THEN 'approximate' WHEN {_PRECISION} = 'district_approx' THEN 'district' ELSE 'normal' END AS state, CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 80 THEN 'high' WHEN score >= 60 THEN 'medium' WHEN score >= 40 THEN 'low' ELSE 'very_low' END AS bucket FROM places")
