@@ -30,9 +30,18 @@ def one(listings: DataFrame, listing_id: int | None = None, source_id: str | Non
     return rows if source_id is None else rows.where(F.col("ss_id") == source_id)
 
 
+def by_listing(rows: DataFrame, dimension: DataFrame) -> DataFrame:
+    """A left join to a dimension of one row a listing, by sorting both sides.
+
+    A dimension grows with the listings. Its columns are texts made from a few small ones, so the optimiser's guess by file size
+    is far too low, and a broadcast by it would pass the whole dimension through the driver.
+    """
+    return rows.join(dimension.hint("merge"), "listing_id", "left")
+
+
 def with_user(rows: DataFrame, users: DataFrame) -> DataFrame:
     """User state with its defaults, notes, and whether there are any: null and blank ones are none."""
-    rows = rows.join(users, "listing_id", "left").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in USER_DEFAULTS.items()})
+    rows = by_listing(rows, users).withColumns({c: F.coalesce(c, F.lit(v)) for c, v in USER_DEFAULTS.items()})
     return rows.withColumn("has_notes", F.coalesce(F.trim("notes") != "", F.lit(False)))
 
 
@@ -45,7 +54,7 @@ def floor_plans(images: DataFrame) -> DataFrame:
 
 def with_floor_plan(rows: DataFrame, images: DataFrame) -> DataFrame:
     """has_floor_plan: an image is marked as one, or the analysis names some."""
-    rows = rows.join(floor_plans(images), "listing_id", "left")
+    rows = by_listing(rows, floor_plans(images))
     named = ~F.col("floor_plan_ids").isin("", "[]")
     return rows.withColumn("has_floor_plan", F.coalesce("has_plan_image", F.lit(False)) | F.coalesce(named, F.lit(False))).drop("has_plan_image")
 
@@ -57,18 +66,18 @@ def of_profile(scores: DataFrame, profile: str) -> DataFrame:
 
 def candidates(listings: DataFrame, users: DataFrame, analyses: DataFrame, images: DataFrame, location: DataFrame, valuation: DataFrame, scores: DataFrame, profile: str) -> DataFrame:
     """Listings with user state, latest analysis, location scores, price value and one profile's score."""
-    rows = with_user(listings, users).join(star.latest_analysis(analyses).drop("version", "state"), "listing_id", "left")
+    rows = by_listing(with_user(listings, users), star.latest_analysis(analyses).drop("version", "state"))
     rows = with_floor_plan(rows, images)
-    rows = rows.join(location.select("listing_id", "rtu_score", "transport_score", "station_score"), "listing_id", "left")
-    rows = rows.join(valuation.select("listing_id", "price_value_score", "suspicious"), "listing_id", "left")
+    rows = by_listing(rows, location.select("listing_id", "rtu_score", "transport_score", "station_score"))
+    rows = by_listing(rows, valuation.select("listing_id", "price_value_score", "suspicious"))
     rows = rows.withColumn("suspicious", F.coalesce("suspicious", F.lit(False)))
-    return rows.join(of_profile(scores, profile).select("listing_id", "score"), "listing_id", "left")
+    return by_listing(rows, of_profile(scores, profile).select("listing_id", "score"))
 
 
 def map_points(listings: DataFrame, users: DataFrame, located: DataFrame, scores: DataFrame, profile: str) -> DataFrame:
     """Listings with marks, position and one profile's score."""
-    rows = with_user(listings, users).join(located.select("listing_id", "lat", "lon", "precision"), "listing_id", "left")
-    return rows.join(of_profile(scores, profile).select("listing_id", "score"), "listing_id", "left")
+    rows = by_listing(with_user(listings, users), located.select("listing_id", "lat", "lon", "precision"))
+    return by_listing(rows, of_profile(scores, profile).select("listing_id", "score"))
 
 
 def map_coverage(ranked: DataFrame, points: DataFrame) -> DataFrame:
@@ -111,13 +120,13 @@ def detail(
     nested: DataFrame | None = None, listing_id: int | None = None,
 ) -> DataFrame:
     """Everything about a listing, or about all; nested: the result of history()."""
-    rows = with_user(one(listings, listing_id), users).join(star.latest_analysis(analyses).drop("version", "state"), "listing_id", "left")
-    rows = with_floor_plan(rows, images).join(located, "listing_id", "left").join(location, "listing_id", "left").join(valuation, "listing_id", "left")
+    rows = by_listing(with_user(one(listings, listing_id), users), star.latest_analysis(analyses).drop("version", "state"))
+    rows = by_listing(by_listing(by_listing(with_floor_plan(rows, images), located), location), valuation)
     rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("suspicious", "geo_enabled", "kitchen_living")})
-    rows = rows.join(of_profile(scores, profile), "listing_id", "left")
+    rows = by_listing(rows, of_profile(scores, profile))
     if nested is not None:
         empty = lambda c: F.coalesce(c, F.array().cast(nested.schema[c].dataType))
-        rows = rows.join(nested, "listing_id", "left").withColumn("history", empty("history")).withColumn("events", empty("events"))
+        rows = by_listing(rows, nested).withColumn("history", empty("history")).withColumn("events", empty("events"))
     return rows
 
 
