@@ -11,13 +11,14 @@ that share 0.8 of their shingles differ in about 10 bits. `near_copies` is the o
 
 near_copies links texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more. In any fixed order
 of shingles two such sets share one among the first n - ceil(0.8 n) + 1 of each, n being the set's own size, so
-fingerprints are dealt out by these shingles and none is lost. Inside a shingle's group tiles of fingerprints
-are compared as above, at a radius of WIDE bits, and pairs of texts of fitting sizes are candidates. They are united as
-they are found; of a group of texts that candidates connect, each text is brought once to the group's task, and
-its pairs are verified there on their whole sets. A group of more than TILE_BYTES is dealt out by pairs of tiles. So no
-pair is ever a row, and a group of near copies moves its size, not its square. At a similarity of exactly 0.8 a
-fingerprint differs in 9.7 bits on average (standard deviation 2.9), more than WIDE with a chance of some 3 in a
-million; sets under SMALL shingles are not held to the radius.
+fingerprints are dealt out by these shingles and none is lost; shingles that one text has alone go no further. Inside a
+shingle's group tiles of fingerprints, here of 256 bits, are compared as above, at a radius of WIDE bits, and pairs of texts of
+fitting sizes are candidates. They are united as they are found; of a group of texts that candidates connect, each text is
+brought once to the group's task, and its pairs are verified there on their whole sets. A group of more than TILE_BYTES is
+dealt out by pairs of tiles. So no pair is ever a row, and a group of near copies moves its size, not its square. At a
+similarity of 0.8 a fingerprint differs in 39 to 41 bits on average, more than WIDE with a chance below 3 in 10^10; of sets under
+SMALL shingles in at most 48, more than LOOSE with a chance below 10^-12. Unlike texts that share a shingle differ in 128 bits,
+WIDE or fewer with a chance of 10^-9: with 64 bits it was 0.03, and such links joined ever more of the long texts to one group.
 
 Nulls and empty texts have no words: fingerprint zero, linked like any other (near_copies: one group). Repeated rows
 keep one output row each. A null doc_id gets a component of its group if the group has any id, else null. Very long
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, connected_components, forest, prepare, spans_of, text_bytes, written
+from .common import blocks, connected_components, forest, mixed, prepare, spans_of, text_bytes, written
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 #: Groups of one key above this many fingerprints are dealt out by pairs of sub-tiles.
@@ -192,8 +193,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 #: Of near_copies: words of a shingle; least similarity as a fraction of whole numbers, so that comparisons are exact.
 COPY_WORDS, OVER, UNDER = 5, 4, 5
-#: Radius for candidates; sets of fewer shingles than SMALL are candidates at any distance.
-WIDE, SMALL = 24, 16
+#: Radius for candidates, of 64 * LANES bits; LOOSE is that of sets of fewer shingles than SMALL.
+LANES, WIDE, LOOSE, SMALL = 4, 80, 96, 16
+FP = [f"f{i}" for i in range(LANES)]
 #: About so many texts are looked through for repeated shingles; SEEN of them make a shingle frequent, MOST are listed.
 #: Frequent shingles come last in the order: this saves work and changes no result.
 SAMPLE, SEEN, MOST = 8_000, 3, 100_000
@@ -215,13 +217,14 @@ def shingles(text: bytes, width: int = COPY_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((hash_of(line[s:e], SEED) for s, e in cut), np.uint64, n).view(np.int64))
 
 
-def _majority(hashes: np.ndarray) -> int:
-    """The fingerprint, as a signed number, of a set of hashes."""
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, len(hashes), 1 << 16):
-        part = hashes[lo : lo + (1 << 16)].astype("<i8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set of hashes: LANES numbers, each from the hashes mixed in a way of its own; zeros for none."""
+    ones, hashes = np.zeros(64 * LANES, np.int64), hashes.view(np.uint64)
+    for lo in range(0, len(hashes), 1 << 12):
+        part = hashes[lo : lo + (1 << 12)]
+        lanes = np.stack([part, *(mixed(part ^ np.uint64(i)) for i in range(1, LANES))], axis=1).astype("<u8").view(np.uint8)
+        ones += np.unpackbits(lanes, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
 
 
 def _lists(found: list[np.ndarray]) -> pa.Array:
@@ -260,9 +263,9 @@ def _prefixes(frequent: np.ndarray):
             made = _made(batch)
             n = np.array([len(x) for x in made], np.int32)
             node = np.where(n > 0, batch.column("node").to_numpy(zero_copy_only=False), 0)
-            fp = np.array([_majority(x) if len(x) else 0 for x in made], np.int64)
-            cols = [batch.column("doc_id").cast(pa.int64()), batch.column("node"), pa.array(node), pa.array(n), pa.array(fp), _lists([first(x) for x in made])]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "node", "n", "fp", "xs"])
+            fp = np.array([_majority(x) for x in made], np.uint64).view(np.int64)
+            cols = [batch.column("doc_id").cast(pa.int64()), batch.column("node"), pa.array(node), pa.array(n), *map(pa.array, fp.T.copy()), _lists([first(x) for x in made])]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "h", "node", "n", *FP, "xs"])
 
     return prefixes
 
@@ -283,18 +286,39 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], at_
         yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (x, node) sorted by x those whose x another row has too."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, node = (batch.column(c).to_numpy() for c in ("x", "node"))
+        again = False
+        if held is not None:
+            again = bool(held[0] == x[0])
+            if held[2] or again:
+                yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["x", "node"])
+        same = np.concatenate(([again], x[1:] == x[:-1], [False]))
+        keep = (same[:-1] | same[1:])[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep]), pa.array(node[:-1][keep])], ["x", "node"])
+        held = x[-1], node[-1], bool(same[-2])
+    if held is not None and held[2]:
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["x", "node"])
+
+
 def _candidates(fp_a, n_a, fp_b, n_b, radius: int, small: int) -> np.ndarray:
-    """Whether pairs are near enough and of sizes that allow the similarity."""
-    near = (np.bitwise_count(fp_a ^ fp_b) <= radius) | (n_a < small) | (n_b < small)
+    """Whether pairs are near enough and of sizes that allow the similarity; lanes of fingerprints are the last axis."""
+    differ = np.bitwise_count(fp_a ^ fp_b).sum(axis=-1, dtype=np.int16)
+    near = differ <= np.where((n_a < small) | (n_b < small), max(LOOSE, radius), radius)
     return near & (n_a * UNDER >= n_b * OVER) & (n_b * UNDER >= n_a * OVER)
 
 
 def _connected(radius: int, small: int):
-    """A spanning forest (u, v) of the candidate pairs of each group, of rows (grp, fp, n, node) sorted by grp."""
+    """A spanning forest (u, v) of the candidate pairs of each group, of rows (grp, *FP, n, node) sorted by grp."""
 
     def connected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grp, fp, n, node in _whole_groups(batches, ("grp", "fp", "n", "node")):
-            bits, n, label = fp.view(np.uint64), n.astype(np.int64), np.arange(len(grp))
+        for grp, n, node, *fp in _whole_groups(batches, ("grp", "n", "node", *FP)):
+            bits, n, label = np.stack(fp, axis=1).view(np.uint64), n.astype(np.int64), np.arange(len(grp))
             new = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1], [True])))
             sizes = np.diff(new)
             many, links = np.repeat(sizes, sizes), []
@@ -324,7 +348,7 @@ def _connected(radius: int, small: int):
 def similar(sets: list[np.ndarray], radius: int, small: int) -> np.ndarray:
     """For each set the first one that it reaches over pairs of the similarity; only pairs not yet united are counted out."""
     size = np.array([len(x) for x in sets], np.int64)
-    bits = np.array([_majority(x) if len(x) else 0 for x in sets], np.int64).view(np.uint64)
+    bits = np.array([_majority(x) for x in sets], np.uint64)
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     ends, label = np.cumsum(size), np.arange(len(sets))
     held = np.zeros(int(ids.max(initial=-1)) + 1, bool)
@@ -383,9 +407,9 @@ def _dealt(rows: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     if hot is not None:
         own = F.expr("CAST(pmod(xxhash64(node), tiles) AS int)")
         pair = F.explode(F.expr("CASE WHEN tiles IS NULL THEN array(-1) ELSE transform(sequence(0, tiles - 1), j -> least(own, j) * tiles + greatest(own, j)) END"))
-        rows = rows.join(hot, key, "left").withColumn("own", own).withColumn("tile", pair).withColumn("grp", F.xxhash64(key, "tile")).drop("own", "tile", "tiles")
+        rows = rows.join(hot, key, "left").withColumn("own", own).withColumn("tile", pair).withColumn("grp", F.xxhash64(key, "tile")).drop("own", "tile", "tiles", key)
     else:
-        rows = rows.withColumn("grp", F.col(key))
+        rows = rows.withColumnRenamed(key, "grp")
     return rows.repartition("grp").sortWithinPartitions("grp", "node")
 
 
@@ -405,11 +429,15 @@ def near_copies(docs: DataFrame, radius: int = WIDE, small: int = SMALL, group_r
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     n = docs.count()
-    made = docs.withColumn("node", F.xxhash64("text")).mapInArrow(_prefixes(_frequent(docs, n)), "doc_id long, h long, node long, n int, fp long, xs array<long>")
+    kinds = ", ".join(f"{c} long" for c in FP)
+    made = docs.withColumn("node", F.xxhash64("text")).mapInArrow(_prefixes(_frequent(docs, n)), f"doc_id long, h long, node long, n int, {kinds}, xs array<long>")
     made = written(made, "copies-prefixes")
-    rows = made.where("n > 0").dropDuplicates(["node"]).select("fp", "n", "node", F.explode("xs").alias("x"))
+    known = made.where("n > 0").dropDuplicates(["node"])
+    rows = known.select(F.explode("xs").alias("x"), "node").repartition("x").sortWithinPartitions("x").mapInArrow(_shared, "x long, node long")
+    rows = written(rows, "copies-shared")
     hot = _crowded(rows, "x", "count(*)", group_rows, "copies-hot") if n > group_rows else None
-    links = _dealt(rows, "x", hot).mapInArrow(_connected(radius, small), "u long, v long")
+    rows = rows.join(known.select("node", "n", *FP), "node")
+    links = _dealt(rows, "x", hot).select("grp", "n", "node", *FP).mapInArrow(_connected(radius, small), "u long, v long")
     groups = written(connected_components(links, "copies-candidates").selectExpr("node", "component AS c"), "copies-groups")
     few = F.broadcast(groups) if groups.count() <= FEW_NODES else groups  # 16 bytes a node
     texts = docs.select(F.xxhash64("text").alias("node"), "text").join(few, "node").dropDuplicates(["node"])

@@ -92,3 +92,28 @@ def test_stage_drops_repeated_rows(spark, sf):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "a  b c d e f", "y"), (1, "other words here", "z"), (None, "no id", "n"), (None, None, "n")], "doc_id long, text string, fp string")
     kept = sorted(((r.doc_id, r.text, r.fp) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()), key=repr)
     assert kept == sorted([(1, "a b c d e f", "x"), (1, "other words here", "z"), (None, "no id", "n"), (None, None, "n")], key=repr)
+
+
+def test_unlike_texts_do_not_meet(spark, monkeypatch):
+    """Texts that share a passage and little else are not brought together: with chance links the group would be as large as the corpus."""
+    monkeypatch.setattr(simhash, "SEEN", 10**9)  # so the passage is not put last
+    rng, brought, write = random.Random(5), {}, simhash.written
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    common = words(12)
+    docs = spark.createDataFrame([(i, f"{words(80)} {common}") for i in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "written", lambda df, name, *rest: brought.setdefault(name, write(df, name, *rest)))
+    assert simhash.near_copies(docs).where("doc_id = component_id").count() == 400
+    assert brought["copies-texts"].count() == 0
+
+
+def test_shared_keys_in_any_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        x = np.sort(rng.integers(0, 12, rng.integers(0, 25)))
+        cut = sorted(rng.integers(0, len(x) + 1, 3))
+        parts = [pa.RecordBatch.from_arrays([pa.array(x[a:b]), pa.array(np.arange(a, b))], ["x", "node"]) for a, b in zip([0, *cut], [*cut, len(x)], strict=True)]
+        got = [v for part in simhash._shared(iter(parts)) for v in part.column("node").to_pylist()]
+        assert got == [i for i, v in enumerate(x) if (x == v).sum() > 1]
