@@ -72,17 +72,22 @@ def _middle(pairs: DataFrame, own: list[str]) -> DataFrame:
     return rows.select(*own, "n", "first", F.expr(taken).alias("mid"))
 
 
-def _without(m: str, member: Column, own: Column) -> tuple[Column, Column]:
-    """(size, median) of a sample given by _middle, without the own value if it is a member."""
-    n = F.coalesce(F.col(f"{m}.n"), F.lit(0))
-    at = lambda k: F.try_element_at(f"{m}.mid", (k - F.col(f"{m}.first") + 1).cast("int"))
-    left = lambda k: F.when(at(k) < own, at(k)).otherwise(at(k + 1))
+def _medians() -> Column:
+    """Of a sample given by _middle a struct (n, whole, p1, p2, r1, r2): its size, its median, and the values that the median of all but one v is made
+    of: the mean of p1 if p1 < v, else p2, and r1 if r1 < v, else r2. Made once for each key, so that little is left to do for each row."""
+    n = F.col("n")
     half = lambda k: F.floor(k / 2).cast("int")
+    at = lambda k: F.try_element_at("mid", (k - F.col("first") + 1).cast("int"))
+    whole = F.when(n % 2 == 1, at(half(n + 1))).otherwise((at(half(n)) + at(half(n) + 1)) / 2)
+    rest = {"p1": half(n), "p2": half(n) + 1, "r1": half(n + 1), "r2": half(n + 1) + 1}
+    return F.struct("n", whole.alias("whole"), *(F.when(n > 1, at(k)).alias(c) for c, k in rest.items()))
 
-    def median(pick, size: Column) -> Column:
-        return F.when(size <= 0, None).when(size % 2 == 1, pick(half(size + 1))).otherwise((pick(half(size)) + pick(half(size) + 1)) / 2)
 
-    return n - member.cast("int"), F.when(member, median(left, n - 1)).otherwise(median(at, n))
+def _without(m: str, member: Column, own: Column) -> tuple[Column, Column]:
+    """(size, median) of a sample given by _medians, without the own value if it is a member."""
+    x = lambda c: F.col(f"{m}.{c}")
+    left = lambda a, b: F.when(x(a) < own, x(a)).otherwise(x(b))
+    return F.coalesce(x("n"), F.lit(0)) - member.cast("int"), F.when(member, (left("p1", "p2") + left("r1", "r2")) / 2).otherwise(x("whole"))
 
 
 def _values(rows: DataFrame, own: list[str]) -> DataFrame:
@@ -123,7 +128,7 @@ def with_levels(rows: DataFrame) -> DataFrame:
     for level, narrower in NARROWER.items():
         own = [*PLACE, *([narrower] if narrower else [])]
         taken = _samples(local, narrower)
-        taken = taken.select(*(F.col(c).alias(f"k_{c}") for c in own), F.struct("n", "first", "mid").alias(names.setdefault(level, f"_{level}")))
+        taken = taken.select(*(F.col(c).alias(f"k_{c}") for c in own), _medians().alias(names.setdefault(level, f"_{level}")))
         key = key.join(taken, _alike(own), "left").drop(*(f"k_{c}" for c in own))
     key = key.select(*(F.col(c).alias(f"k_{c}") for c in keys), *names.values())
     rows = rows.join(key, _alike(keys), "left").drop(*(f"k_{c}" for c in keys))

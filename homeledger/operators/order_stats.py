@@ -1,7 +1,7 @@
 """Exact order statistics and leave-one-out medians without a global sort.
 
-One aggregate counts the rows and brackets each wanted rank by approximate percentiles; a second one counts
-what lies below the bracket and takes the values inside it. A bracket that still holds too many values is
+One aggregate brackets the wanted ranks by approximate percentiles; a second one counts what lies below the bracket
+and inside it; then the values inside it are taken. Several values go through these passes together. A bracket that still holds too many values is
 narrowed again; one that percentiles narrow no further is halved by value, a rank at a time, until it holds few
 values or a single one. So no task and no driver ever holds more than MOST values.
 """
@@ -16,29 +16,7 @@ MOST = 200_000
 
 def order_statistics(df: DataFrame, value: Column, ranks: list[int], n: int) -> dict[int, float]:
     """Values by rank (from 1) of the n non-null values."""
-    rows = df.select(value.cast("double").alias("v")).where("v IS NOT NULL")
-    low, high, below = float("-inf"), float("inf"), 0
-    inside = n
-    ranks = [k for k in ranks if 1 <= k <= n]
-    if not ranks:
-        return {}
-    while inside > MOST:
-        part = rows.where((F.col("v") >= low) & (F.col("v") <= high))
-        lo, hi = ((min(ranks) - below) / inside, (max(ranks) - below) / inside)
-        q = part.agg(F.percentile_approx("v", [max(0.0, lo - 1e-3), min(1.0, hi + 1e-3)], 5000).alias("q")).first().q
-        got = rows.agg(F.count_if(F.col("v") < q[0]).alias("b"), F.count_if((F.col("v") >= q[0]) & (F.col("v") <= q[1])).alias("c")).first()
-        if got.c >= inside or not got.b < min(ranks) or not max(ranks) <= got.b + got.c:
-            return {k: _halved(rows, k, low, high, below, inside) for k in sorted(set(ranks))}
-        low, high, below, inside = q[0], q[1], got.b, got.c
-    counted = rows.where((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").count().orderBy("v")
-    out, seen, left = {}, below, sorted(set(ranks))
-    for r in counted.toLocalIterator():
-        seen += r["count"]
-        while left and left[0] <= seen:
-            out[left.pop(0)] = r.v
-        if not left:
-            break
-    return out
+    return order_statistics_of(df, {"v": (value, ranks, n)})["v"]
 
 
 def _halved(rows: DataFrame, rank: int, low: float, high: float, below: int, inside: int) -> float:
@@ -64,14 +42,43 @@ def _halved(rows: DataFrame, rank: int, low: float, high: float, below: int, ins
 
 
 def order_statistics_of(df: DataFrame, wanted: dict[str, tuple[Column, list[int], int]]) -> dict[str, dict[int, float]]:
-    """The same for several values, by name; those of at most MOST rows come from one aggregate together."""
-    small = {k: v for k, v in wanted.items() if v[2] <= MOST and v[1]}
-    out = {k: {} if not v[1] else None if k in small else order_statistics(df, *v) for k, v in wanted.items()}
+    """The same for several values, by name, each given with its ranks and count; a pass over the rows is for all of them."""
+    ranks = {k: sorted({r for r in ranks if 1 <= r <= n}) for k, (_, ranks, n) in wanted.items()}
+    out: dict[str, dict[int, float]] = {k: {} for k in wanted}
+    small = [k for k, (_, _, n) in wanted.items() if ranks[k] and n <= MOST]
+    # brackets: (low, high, how many values lie below, how many inside)
+    large = {k: (float("-inf"), float("inf"), 0, n) for k, (_, _, n) in wanted.items() if ranks[k] and n > MOST}
+    rows = df.select(*(wanted[k][0].cast("double").alias(k) for k in [*small, *large]))
     if small:
-        pick = lambda v, ranks: F.transform(F.array(*map(F.lit, ranks)), lambda k: F.try_element_at(F.sort_array(F.collect_list(v.cast("double"))), k))
-        got = df.agg(*(pick(v, ranks).alias(k) for k, (v, ranks, _) in small.items())).first()
-        for k, (_, ranks, _) in small.items():
-            out[k] = dict(zip(ranks, got[k], strict=True))
+        pick = lambda k: F.transform(F.array(*map(F.lit, ranks[k])), lambda r: F.try_element_at(F.sort_array(F.collect_list(k)), r))
+        got = rows.agg(*(pick(k).alias(k) for k in small)).first()
+        out |= {k: dict(zip(ranks[k], got[k], strict=True)) for k in small}
+    inside = lambda k, low, high: (F.col(k) >= low) & (F.col(k) <= high)
+    while wide := [k for k, x in large.items() if x[3] > MOST]:
+        asked = []
+        for k in wide:
+            low, high, below, n = large[k]
+            at = [max(0.0, (ranks[k][0] - below) / n - 1e-3), min(1.0, (ranks[k][-1] - below) / n + 1e-3)]
+            asked.append(F.percentile_approx(F.when(inside(k, low, high), F.col(k)), at, 5000).alias(k))
+        q = rows.agg(*asked).first()
+        got = rows.agg(*(x for k in wide for x in (F.count_if(F.col(k) < q[k][0]).alias(f"b_{k}"), F.count_if(inside(k, *q[k])).alias(f"c_{k}")))).first()
+        for k in wide:
+            low, high, below, n = large[k]
+            b, c = got[f"b_{k}"], got[f"c_{k}"]
+            if c >= n or not b < ranks[k][0] or not ranks[k][-1] <= b + c:
+                one = rows.select(F.col(k).alias("v")).where("v IS NOT NULL")
+                out[k] = {r: _halved(one, r, low, high, below, n) for r in ranks[k]}
+                del large[k]
+            else:
+                large[k] = q[k][0], q[k][1], b, c
+    if large:
+        taken = F.array(*(F.struct(F.lit(k).alias("k"), F.when(inside(k, low, high), F.col(k)).alias("v")) for k, (low, high, _, _) in large.items()))
+        counted = rows.select(F.explode(F.filter(taken, lambda x: x.v.isNotNull())).alias("x")).groupBy("x.k", "x.v").count().orderBy("k", "v")
+        seen, left = {k: x[2] for k, x in large.items()}, {k: list(ranks[k]) for k in large}
+        for r in counted.toLocalIterator():
+            seen[r.k] += r["count"]
+            while left[r.k] and left[r.k][0] <= seen[r.k]:
+                out[r.k][left[r.k].pop(0)] = r.v
     return out
 
 

@@ -43,3 +43,24 @@ def test_few_rows_meet_keys(spark):
     assert made.agg(F.max(F.size("mid"))).first()[0] == 4
     joined = market._values(market.with_prices(many).withColumn("normal", market.comparable()), ["district", "area_m2", "declared_rooms"])
     assert joined.count() <= 60 and joined.agg(F.sum("c")).first()[0] > 10_000
+
+
+def test_order_statistics_share_passes(spark, monkeypatch):
+    """Several values take no more passes over the rows than one, and the ranks asked for are exact."""
+    from homeledger.operators import order_stats
+
+    monkeypatch.setattr(order_stats, "MOST", 50)
+    random.seed(3)
+    rows = [(random.random(), float(random.randrange(40)), random.choice([None, 1.5, 2.5])) for _ in range(400)]
+    df, values = spark.createDataFrame(rows, "a double, b double, c double"), {k: sorted(r[i] for r in rows if r[i] is not None) for i, k in enumerate("abc")}
+    wanted = {k: (F.col(k), [1, len(v) // 2, len(v)], len(v)) for k, v in values.items()}
+    assert order_stats.order_statistics_of(df, wanted) == {k: {r: v[r - 1] for r in wanted[k][1]} for k, v in values.items()}
+
+    def jobs(names):
+        group = "passes-" + "".join(names)
+        spark.sparkContext.setJobGroup(group, "")
+        order_stats.order_statistics_of(df, {k: (F.col("a") + i, [200, 201], 400) for i, k in enumerate(names)})
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs("xyz") == jobs("x")
